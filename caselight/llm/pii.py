@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselight.llm.names import folded
+from caselight.session import cut_lineage
 
 #: Bits by which a term must be likelier among people than in the texts to disclose a person, and least count there.
 DISCLOSURE_BITS, LEAST_COUNT = 1.0, 2
@@ -159,7 +160,7 @@ def find_pii(texts: DataFrame, people: DataFrame, bits: float = DISCLOSURE_BITS)
     ``texts``: src_table, row_id, text, labelled; null and blank texts hold nothing. ``people``: name, a row per mention in a column that names
     people. Repeated rows count by their own id. The statistics cover all rows. Terms are joined to candidates by value; AQE splits a hot term.
     """
-    items = shaped_items(texts)
+    items = cut_lineage(shaped_items(texts))  # read three times below; the texts are scanned once
     candidates = items.filter(F.col("kind").isin("given_first", "surname_first"))
     scores = disclosure(people, candidates).filter(F.col("bits") >= bits)
     named = candidates.join(scores.select(F.col("term").alias("given")), "given")
