@@ -131,10 +131,10 @@ def disclosure(people: DataFrame, candidates: DataFrame) -> DataFrame:
     named = spelled.select(F.explode(F.array(F.struct(F.col("p.given").alias("term"), F.lit(1).alias("g")), F.struct(F.col("p.surname").alias("term"), F.lit(0).alias("g")))).alias("t"), "n")
     named = named.groupBy(F.col("t.term").alias("term")).agg(F.sum(F.when(F.col("t.g") == 1, F.col("n")).otherwise(0)).alias("as_given"), F.sum("n").alias("in_names"))
     seen = candidates.groupBy(F.col("given").alias("term")).agg(F.count("*").alias("in_texts"))
-    totals = named.agg(F.sum("as_given").alias("all_given")).crossJoin(seen.agg(F.sum("in_texts").alias("all_texts")))  # one row each
-    scored = seen.join(named, "term").crossJoin(F.broadcast(totals))
+    all_given, all_texts = (float(x.first()[0] or 0) for x in (named.agg(F.sum("as_given")), seen.agg(F.sum("in_texts"))))  # two numbers
+    scored = seen.join(named, "term")
     share = F.col("as_given") / F.col("in_names")
-    bits = F.log2((F.col("as_given") + 0.5) / (F.col("all_given") + 1)) - F.log2((F.col("in_texts") + 0.5) / (F.col("all_texts") + 1)) + F.log2(share * F.lit(16.0))
+    bits = F.log2((F.col("as_given") + 0.5) / (all_given + 1)) - F.log2((F.col("in_texts") + 0.5) / (all_texts + 1)) + F.log2(share * F.lit(16.0))
     return scored.filter(F.col("as_given") >= LEAST_COUNT).filter(share >= 0.5).select("term", bits.alias("bits"))
 
 
