@@ -249,9 +249,9 @@ def union_briefs(spark: SparkSession, d: str) -> DataFrame:
     return part("is_open", "outstanding").unionAll(part("overdue", "overdue"))
 
 
-@query("q_overdue_commitments", f"WITH {COMMITMENTS} SELECT user_id, commitment_id, target, CAST(datediff('day', try_cast(target AS DATE), DATE '{AS_OF}') AS INTEGER) AS days_overdue FROM com WHERE overdue")
+@query("q_overdue_commitments", f"WITH {COMMITMENTS} SELECT user_id, commitment_id, target, coalesce(CAST(datediff('day', try_cast(target AS DATE), DATE '{AS_OF}') AS INTEGER), 0) AS days_overdue FROM com WHERE overdue")
 def overdue_commitments(spark: SparkSession, d: str) -> DataFrame:
-    return commitments(spark, d).filter("overdue").select("user_id", "commitment_id", "target", F.datediff(F.lit(AS_OF).cast("date"), F.try_to_date("target", "yyyy-MM-dd")).alias("days_overdue"))
+    return commitments(spark, d).filter("overdue").select("user_id", "commitment_id", "target", F.coalesce(F.datediff(F.lit(AS_OF).cast("date"), F.try_to_date("target", "yyyy-MM-dd")), F.lit(0)).alias("days_overdue"))
 
 
 @query("q_outstanding_commitments", f"WITH {COMMITMENTS} SELECT user_id, commitment_id, overdue AS is_overdue FROM com WHERE is_open")
