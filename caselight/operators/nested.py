@@ -196,11 +196,11 @@ def nodes(raw: DataFrame) -> DataFrame:
         columns = [x.split()[0] for x in NODES_SCHEMA.split(", ")]
         for batch in batches:
             found = [
-                {"raw_id": raw_id, "customer_slug": slug, "source_system": system, **n}
+                (raw_id, slug, system, *(n.get(c) for c in columns[3:]))
                 for raw_id, slug, system, payload in zip(batch.raw_id, batch.customer_slug, batch.source_system, batch.payload, strict=True)
                 for n in flatten(payload)
             ]
-            yield pd.DataFrame(found, columns=columns)
+            yield pd.DataFrame(found, columns=columns, dtype=object)
 
     return raw.select("raw_id", "customer_slug", "source_system", "payload").mapInPandas(run, NODES_SCHEMA)
 

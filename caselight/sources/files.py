@@ -1,0 +1,49 @@
+"""Reading raw files into rows: ticket and commitment sheets, JSON lines, transcripts and pages. Columns are found through alias maps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# The canonical columns with the headings under which they come.
+TICKET_ALIASES = {"ticket_id": ("ticket_id", "id", "key", "issue key"), "summary": ("summary", "subject", "title"), "status": ("status", "state"), "priority": ("priority", "severity"), "created_date": ("created_date", "created", "created_at"), "updated_date": ("updated_date", "updated", "updated_at"), "reporter": ("reporter",), "assignee": ("assignee", "owner"), "description": ("description", "details"), "resolution": ("resolution",)}
+COMMITMENT_ALIASES = {"commitment": ("commitment", "description"), "promised_date": ("promised_date", "promised"), "current_target_date": ("current_target_date", "target", "target date"), "status": ("status",), "owner": ("owner",), "customer_aware": ("customer_aware",), "commitment_id": ("commitment_id", "id")}
+
+
+def renamed(df: DataFrame, aliases: dict[str, tuple[str, ...]], required: tuple[str, ...]) -> DataFrame:
+    """``df`` under canonical names, the first heading that matches winning; other columns go, absent ones are null, and a missing required one is an error."""
+    by_name: dict[str, str] = {}
+    for c in df.columns:
+        by_name.setdefault(c.strip().lower(), c)
+    found = {k: next((by_name[a] for a in names if a in by_name), None) for k, names in aliases.items()}
+    if missing := [k for k in required if found[k] is None]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df.select(*[(F.col(f"`{v}`") if v else F.lit(None)).cast("string").alias(k) for k, v in found.items()])
+
+
+def ticket_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """Tickets of a CSV sheet; rows without id are skipped, status is lower case or ``open``, priority ``normal`` where there is none."""
+    t = renamed(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path), TICKET_ALIASES, ("ticket_id", "summary", "status"))
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return t.filter(blank("ticket_id").isNotNull()).withColumns({"status": F.coalesce(F.lower(blank("status")), F.lit("open")), "priority": F.coalesce(blank("priority"), F.lit("normal"))})
+
+
+def commitment_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """Commitments of a CSV sheet; blank ones are skipped and the target is the promised date where there is none."""
+    c = renamed(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path), COMMITMENT_ALIASES, ("commitment", "status"))
+    return c.filter(F.trim("commitment") != "").withColumn("current_target_date", F.coalesce(F.nullif("current_target_date", F.lit("")), "promised_date"))
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON lines log; lines that can't be read are dropped."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, text: one row per file (transcripts, pages, notes)."""
+    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def write_by_tenant(df: DataFrame, path: str, tenant: str = "user_id") -> None:
+    """Append ``df`` partitioned by tenant, so that a read of one tenant scans its folder alone."""
+    df.write.mode("append").partitionBy(tenant).parquet(path)
