@@ -158,7 +158,8 @@ def link_names(spellings: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
             )
         )
         keys = profiles.select("grp", "pid", "full", "whole", rank.alias("rank"), key.alias("k")).select("grp", "pid", "full", "whole", "rank", F.col("k.key").alias("key"))
-        keys = keys.groupBy("grp", "key", "pid").agg(F.max("rank").alias("rank"), F.max("full").alias("full"), F.max("whole").alias("whole"))
+        # Both the hubs and the members come from the keys: they are made and shuffled once, already placed by block.
+        keys = cut_lineage(keys.groupBy("grp", "key", "pid").agg(F.max("rank").alias("rank"), F.max("full").alias("full"), F.max("whole").alias("whole")))
         hubs = keys.groupBy("grp", "key").agg(
             F.max(F.struct("rank", "full")).alias("hub"), F.count("*").alias("members"), F.sum("whole").alias("n_whole"), F.count(F.when(F.col("whole") == 1, 1)).alias("wholes")
         ).filter("members > 1")
