@@ -120,13 +120,18 @@ _PERCENT = (0.5, 0.9, 0.95, 0.99)
 
 @query("q_node_timings", f"WITH {LOGS}, r AS (SELECT node, elapsed_ms, row_number() OVER (PARTITION BY node ORDER BY elapsed_ms) - 1 AS i, count(*) OVER (PARTITION BY node) AS n FROM logs WHERE elapsed_ms IS NOT NULL) SELECT node, count(*) AS n, round(avg(elapsed_ms), 4) AS mean, {', '.join(f'max(CASE WHEN i = least(CAST(floor(n * {p}) AS BIGINT), n - 1) THEN elapsed_ms END) AS p{int(p * 100)}' for p in _PERCENT)}, max(elapsed_ms) AS max FROM r GROUP BY node")
 def node_timings(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest-rank percentiles by counting: values are counted before the shuffle and ranked by running sums, so no group is collected."""
+    """Nearest-rank percentiles by counting: values are counted before the shuffle and ranked by running sums in blocks, so no group is collected."""
     from pyspark.sql import Window as W
 
     e = logs(spark, d).filter("elapsed_ms IS NOT NULL")
     by_value = e.groupBy("node", "elapsed_ms").agg(F.count("*").alias("c"))
     total = by_value.groupBy("node").agg(F.sum("c").alias("n"), F.round(F.sum(F.col("c") * F.col("elapsed_ms")) / F.sum("c"), 4).alias("mean"), F.max("elapsed_ms").alias("max"))
-    upto = by_value.withColumn("upto", F.sum("c").over(W.partitionBy("node").orderBy("elapsed_ms"))).join(total, "node")
+    # Ranks in two steps: of blocks of values within the node, and of values within their block.
+    by_value = by_value.withColumn("block", F.floor("elapsed_ms"))
+    before = F.sum("n_block").over(W.partitionBy("node").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    offsets = by_value.groupBy("node", "block").agg(F.sum("c").alias("n_block")).select("node", "block", F.coalesce(before, F.lit(0)).alias("offset"))
+    inside = F.sum("c").over(W.partitionBy("node", "block").orderBy("elapsed_ms"))
+    upto = by_value.withColumn("inside", inside).join(offsets, ["node", "block"]).withColumn("upto", F.col("offset") + F.col("inside")).join(total, "node")
     at = {p: F.least(F.floor(F.col("n") * p), F.col("n") - 1) for p in _PERCENT}
     return upto.groupBy("node").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *[F.min(F.when(F.col("upto") > at[p], F.col("elapsed_ms"))).alias(f"p{int(p * 100)}") for p in _PERCENT], F.first("max").alias("max"))
 
@@ -156,12 +161,13 @@ def boosted(spark: SparkSession, d: str) -> DataFrame:
     return recency_boost(ranked, "user_id", "i", "doc_date").select("user_id", "file_id", "score")
 
 
-@query("q_prior_turn", "SELECT turn_row_id, lag(speaker) OVER w AS prior_speaker, left(lag(text) OVER w, 100) AS prior_text FROM turns WINDOW w AS (PARTITION BY call_id ORDER BY line_no, turn_row_id)")
+@query("q_prior_turn", "WITH p AS (SELECT call_id, line_no + 1 AS line_no, arg_min(coalesce(speaker, ''), turn_row_id) AS prior_speaker, arg_min(left(coalesce(text, ''), 100), turn_row_id) AS prior_text FROM turns GROUP BY call_id, line_no) SELECT t.turn_row_id, p.prior_speaker, p.prior_text FROM turns t LEFT JOIN p ON p.call_id = t.call_id AND p.line_no = t.line_no")
 def prior_turn(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("call_id").orderBy("line_no", "turn_row_id")
-    return table(spark, d, "turns").select("turn_row_id", F.lag("speaker").over(w).alias("prior_speaker"), F.substring(F.lag("text").over(w), 1, 100).alias("prior_text"))
+    """The line before by its number, its first delivery. An equi-join on call and line number, so a call of any length spreads over all tasks."""
+    t = table(spark, d, "turns")
+    first = lambda c: F.min_by(c, "turn_row_id")
+    before = t.groupBy("call_id", (F.col("line_no") + 1).alias("line_no")).agg(first(F.coalesce("speaker", F.lit(""))).alias("prior_speaker"), first(F.substring(F.coalesce("text", F.lit("")), 1, 100)).alias("prior_text"))
+    return t.select("turn_row_id", "call_id", "line_no").join(before, ["call_id", "line_no"], "left").select("turn_row_id", "prior_speaker", "prior_text")
 
 
 @query("q_dedupe_titles", f"WITH {TICKETS} SELECT user_id, min(ticket_row_id) AS ticket_row_id FROM tkt WHERE trim(coalesce(subject, '')) <> '' GROUP BY user_id, lower(trim(subject)) UNION ALL SELECT user_id, ticket_row_id FROM tkt WHERE trim(coalesce(subject, '')) = ''")
@@ -222,12 +228,9 @@ def audit_log(spark: SparkSession, d: str) -> DataFrame:
     return logs(spark, d).select("event_id", "user_id", "created_at").orderBy(F.desc("created_at"), F.desc("event_id")).limit(100)
 
 
-@query("q_docs_list", "SELECT customer_slug, doc_id, rank() OVER (PARTITION BY customer_slug ORDER BY upload_timestamp DESC, doc_id) AS place FROM documents")
+@query("q_docs_list", "SELECT customer_slug, doc_id, upload_timestamp FROM documents ORDER BY customer_slug, upload_timestamp DESC, doc_id")
 def docs_list(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("customer_slug").orderBy(F.desc("upload_timestamp"), "doc_id")
-    return table(spark, d, "documents").select("customer_slug", "doc_id", F.rank().over(w).cast("long").alias("place"))
+    return table(spark, d, "documents").select("customer_slug", "doc_id", "upload_timestamp").orderBy("customer_slug", F.desc("upload_timestamp"), "doc_id")
 
 
 @query("q_customers_list", "SELECT account_id, account_name, customer_slug FROM accounts ORDER BY account_name, account_id")
