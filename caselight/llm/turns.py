@@ -1,12 +1,14 @@
 """Raw transcript lines made into clean, ordered speaker turns.
 
 Lines are deduplicated, timed and labelled (speaker normalisation against the call's participants); tokens are classed as speech, hesitation, sound note or
-time; boundaries between adjacent lines are decided by gradient-boosted trees over labels, gaps and context, fitted on a bounded sample of lines.
+time; whether a line with an unsure label begins another speaker's turn is decided by gradient-boosted trees over the label, gaps and context, fitted on a bounded sample
+of lines with sure labels into which slips are written.
 """
 
 from __future__ import annotations
 
 import json
+import random
 import re
 from functools import lru_cache
 
@@ -22,6 +24,10 @@ from caselight.session import cut_lineage
 
 #: Pairs of adjacent lines (the first by a hash) on which the boundary model is fitted.
 TRAINING_PAIRS = 4000
+#: One label of so many is hidden from the model when it is fitted.
+HIDDEN = 3
+#: With fewer usable pairs, or one class of them only, nothing is fitted and the labels decide.
+LEAST_PAIRS = 100
 #: A block of a call: so many minutes of a timed call, so many lines of another. Long calls are worked on block by block.
 BLOCK_MINUTES, BLOCK_LINES = 20, 500
 
@@ -166,6 +172,11 @@ def _joined(classes: list[tuple[str, str]]) -> str:
 
 def read_line(speaker: str | None, text: str | None, start_ms: float | None, speakers: str | None) -> tuple[float | None, str | None, int, bool, str, bool]:
     """(time, spk_id, certainty, labelled, clean text, says something) of a line."""
+    return _read(speaker, text, start_ms, speakers)[:6]
+
+
+def _read(speaker: str | None, text: str | None, start_ms: float | None, speakers: str | None) -> tuple[float | None, str | None, int, bool, str, bool, str | None]:
+    """``read_line`` and the label as written."""
     rest = text or ""
     at = None if start_ms is None or start_ms != start_ms else float(start_ms)
     if m := _TIME.match(rest):
@@ -181,22 +192,33 @@ def read_line(speaker: str | None, text: str | None, start_ms: float | None, spe
     spk, sure = resolved(label, speakers) if label else (None, 0)
     if not _HINT.search(rest):
         clean = re.sub(r"\s+", " ", rest).strip()
-        return at, spk, sure, label is not None, clean, bool(clean)
+        return at, spk, sure, label is not None, clean, bool(clean), label
     classes = token_classes(rest)
-    return at, spk, sure, label is not None, _joined(classes), any(k == "speech" for _, k in classes)
+    return at, spk, sure, label is not None, _joined(classes), any(k == "speech" for _, k in classes), label
+
+
+def _pair(speakers: str | None) -> list[str] | None:
+    ids = sorted({spk for spk, _, _ in _participants(speakers)})
+    return ids if len(ids) == 2 else None
 
 
-_LINE = "struct<at:double,spk:string,sure:int,labelled:boolean,clean:string,says:boolean>"
+def _people(calls: DataFrame) -> DataFrame:
+    return calls.select("call_id", F.to_json(F.sort_array("speakers")).alias("_people")).dropDuplicates(["call_id"])
+
+
+_LINE = "struct<at:double,spk:string,sure:int,labelled:boolean,clean:string,says:boolean,label:string,pair:array<string>>"
 
 
 def timed_lines(turns: DataFrame, calls: DataFrame) -> DataFrame:
-    """One row per distinct line: call_id, line_no, at, spk, sure, labelled, clean, says, timed, block."""
+    """One row per distinct line: call_id, line_no, at, spk, sure, labelled, clean, says, label, pair (the participants of a call of two, for a label that names none), timed, block."""
 
     @F.pandas_udf(_LINE)
     def read(speaker: pd.Series, text: pd.Series, start: pd.Series, speakers: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_line(*x) for x in zip(speaker, text, start, speakers, strict=True)], columns=["at", "spk", "sure", "labelled", "clean", "says"])
+        rows = [_read(*x) for x in zip(speaker, text, start, speakers, strict=True)]
+        pairs = [_pair(s) if r[3] and r[1] is None else None for r, s in zip(rows, speakers, strict=True)]
+        return pd.DataFrame([(*r, x) for r, x in zip(rows, pairs, strict=True)], columns=["at", "spk", "sure", "labelled", "clean", "says", "label", "pair"])
 
-    people = calls.select("call_id", F.to_json(F.sort_array("speakers")).alias("_people")).dropDuplicates(["call_id"])
+    people = _people(calls)
     once = turns.filter("call_id IS NOT NULL").select("call_id", "line_no", "speaker", "text", F.col("start_ms").cast("double").alias("start_ms")).dropDuplicates(["call_id", "line_no", "speaker", "text", "start_ms"])
     lines = once.join(people, "call_id", "left").withColumn("r", read("speaker", "text", "start_ms", "_people")).select("call_id", "line_no", "r.*")
     lines = cut_lineage(lines)
@@ -214,10 +236,47 @@ def _carried(lines: DataFrame, value: Column, order: list, name: str) -> DataFra
     return lines.join(blocks.select("call_id", "block", F.last("_last", ignorenulls=True).over(w).alias(name)), ["call_id", "block"])
 
 
+def with_slips(label: str, seed: int) -> str:
+    """``label`` with one or two letters swapped, dropped, doubled or replaced; the same for the same seed."""
+    r, out = random.Random(seed), list(label)
+    for _ in range(r.choice((1, 1, 2))):
+        at = [i for i, c in enumerate(out) if c.isalpha()]
+        if len(at) < 3:
+            break
+        i = r.choice(at)
+        kind = r.randrange(4)
+        if kind == 0 and i + 1 < len(out):
+            out[i], out[i + 1] = out[i + 1], out[i]
+        elif kind == 1:
+            del out[i]
+        elif kind == 2:
+            out.insert(i, out[i])
+        else:
+            out[i] = r.choice("abcdefghijklmnopqrstuvwxyz")
+    return "".join(out)
+
+
+def training_rows(sample: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and targets from lines with sure labels (label, people, spk, prev, gap, size, before).
+
+    Slips are written into each label and it is resolved again; only those that come out unsure or name nobody, as the lines the model is for, are kept. Slips seldom mislead,
+    so every third label is hidden, for gap and context to be learned. The target is the change of speaker by the sure label, which no feature is made from.
+    """
+    x, y = [], []
+    for n, r in enumerate(sample.itertuples(index=False)):
+        slipped = with_slips(r.label, n)
+        spk, sure = (None, 0) if n % HIDDEN == 0 else resolved(slipped, r.people)
+        if sure < 2:
+            x.append([0.0 if spk is None else -1.0 if spk == r.prev else 1.0, float(len(slipped.split())), r.gap, r.size, r.before])
+            y.append(float(r.spk != r.prev))
+    return np.array(x, dtype=float).reshape(-1, 5), np.array(y, dtype=float)
+
+
 def attributed(turns: DataFrame, calls: DataFrame, training_pairs: int = TRAINING_PAIRS) -> DataFrame:
     """The lines with their speaker, those that say nothing dropped, and ``opens``: whether the line opens a turn.
 
-    A line without label, or with one that names no participant, goes to the speaker of the line before it; at the start of a call to the next named one.
+    A line without label goes to the speaker of the line before it; at the start of a call to the next named one. So does a line with an unsure label, or one that names no
+    participant, unless the model says that it begins another turn: that is the label's speaker or, where it names none, the other one of a call of two. As a turn is a maximal run of one participant, ``opens`` follows the speakers decided so.
     """
     lines = timed_lines(turns, calls)
     order = ["at", "line_no"]
@@ -225,19 +284,22 @@ def attributed(turns: DataFrame, calls: DataFrame, training_pairs: int = TRAININ
     w_block = W.partitionBy("call_id", "block").orderBy(*order)
     so_far = w_block.rowsBetween(W.unboundedPreceding, 0)
     lines = lines.withColumn("_known", F.last("spk", ignorenulls=True).over(so_far)).withColumn("_before", F.lag("_known").over(w_block)).withColumn("_gap", F.coalesce(F.col("at") - F.lag("at").over(w_block), F.lit(0.0)) / 1000)
-    lines = cut_lineage(_carried(lines, F.col("spk"), order, "_carry"))
-    before = F.coalesce("_before", "_carry")
-    label_state = F.when(~F.col("labelled") | F.col("spk").isNull(), 0).when(F.col("spk") == before, -1).otherwise(1)
-    features = [label_state, F.col("sure"), F.least(F.col("_gap"), F.lit(60.0)), F.length("clean"), F.col("labelled").cast("int")]
-    lines = lines.withColumn("_prev", before).withColumns({f"_f{i}": f.cast("double") for i, f in enumerate(features)})
-    # Boundaries are known where the line's own label is exact, and where there is none.
-    known = lines.filter("_prev IS NOT NULL AND (sure = 3 OR NOT labelled)")
-    sample = known.orderBy(F.xxhash64("call_id", "line_no")).limit(training_pairs).select(*[f"_f{i}" for i in range(len(features))], (F.coalesce(F.col("spk") != F.col("_prev"), F.lit(False)) & F.col("labelled")).cast("int").alias("y")).toPandas()
-    model = fit(sample.drop(columns="y").to_numpy(dtype=float), sample.y.to_numpy(dtype=float)) if len(sample) else fit(np.zeros((0, len(features))), np.zeros(0))
-    is_boundary = margin_column(model, [F.col(f"_f{i}") for i in range(len(features))]) > 0
-    # The label decides who speaks; the model whether a new turn may begin where the label is unsure.
-    speaker = F.when(F.col("spk").isNull() | (~is_boundary & (F.col("sure") < 2) & F.col("_prev").isNotNull()), F.coalesce("_known", "_prev")).otherwise(F.col("spk"))
-    lines = lines.withColumn("speaker", speaker)
+    lines = lines.withColumn("_size", F.length("clean").cast("double")).withColumn("_size_before", F.coalesce(F.lag("_size").over(w_block), F.lit(0.0)))
+    lines = cut_lineage(_carried(lines, F.col("spk"), order, "_carry")).withColumn("_prev", F.coalesce("_before", "_carry")).withColumn("_gap", F.least("_gap", F.lit(60.0)))
+    sample = lines.filter("_prev IS NOT NULL AND sure >= 2").orderBy(F.xxhash64("call_id", "line_no"), "label", "clean").limit(training_pairs)
+    sample = sample.join(_people(calls), "call_id").orderBy(F.xxhash64("call_id", "line_no"), "label", "clean")
+    x, y = training_rows(sample.select("label", F.col("_people").alias("people"), "spk", F.col("_prev").alias("prev"), F.col("_gap").alias("gap"), F.col("_size").alias("size"), F.col("_size_before").alias("before")).toPandas())
+    is_boundary = F.col("spk").isNotNull()
+    if len(y) >= LEAST_PAIRS and y.min() != y.max():
+        features = [F.when(F.col("spk").isNull(), 0.0).when(F.col("spk") == F.col("_prev"), -1.0).otherwise(1.0), F.size(F.split(F.trim("label"), r"\s+")).cast("double"), F.col("_gap"), F.col("_size"), F.col("_size_before")]
+        is_boundary = margin_column(fit(x, y), features) > 0
+    # A sure label decides who speaks; the model whether an unsure one is followed or the speaker of the line before goes on.
+    other = F.when(F.col("_prev") == F.col("pair")[0], F.col("pair")[1]).otherwise(F.col("pair")[0])
+    unsure = F.col("labelled") & (F.col("sure") < 2) & F.col("_prev").isNotNull()
+    own = F.when(~unsure, F.col("spk")).when(is_boundary, F.coalesce("spk", other))
+    lines = cut_lineage(lines.withColumn("_own", own).drop("_known", "_before", "_carry", "_prev", "_gap", "_size", "_size_before", "label", "pair"))
+    lines = _carried(lines.withColumn("_last_own", F.last("_own", ignorenulls=True).over(so_far)), F.col("_own"), order, "_carry")
+    lines = lines.withColumn("speaker", F.coalesce("_last_own", "_carry"))
     first = lines.filter("speaker IS NOT NULL").groupBy("call_id").agg(F.min_by("speaker", F.struct(*order)).alias("_first"))
     kept = lines.join(first, "call_id", "left").withColumn("speaker", F.coalesce("speaker", "_first")).filter("says AND speaker IS NOT NULL").select("call_id", "block", "line_no", "at", "timed", "speaker", "clean")
     kept = _carried(kept, F.col("speaker"), order, "_carry")

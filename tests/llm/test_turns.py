@@ -1,3 +1,6 @@
+import pandas as pd
+
+from caselight.llm import turns as T
 from caselight.llm.turns import cleaned, read_line, resolved, speaker_turns
 
 PEOPLE = '[{"spk_id": "1", "spk_name": "Pascal Kelstead"}, {"spk_id": "2", "spk_name": "Leonardo Pellhaven"}]'
@@ -30,3 +33,26 @@ def test_turns(spark):
     assert [g[:4] for g in got] == [(1, 1, "1", 1000), (1, 2, "2", 3000), (1, 3, "1", 4000), (2, 1, "1", 0), (2, 2, "2", 0)]
     assert got[0][4] == "Hello there. And more."
     assert speaker_turns(turns.limit(0), calls).count() == 0
+
+
+def test_slips_hide_the_target():
+    names = {"1": "Pascal Kelstead", "2": "Leonardo Pellhaven"}
+    rows = [(names[spk], PEOPLE, spk, "1", 30.0 if spk == "2" else 2.0, 9.0, 9.0) for spk in "12" * 300]
+    x, y = T.training_rows(pd.DataFrame(rows, columns=["label", "people", "spk", "prev", "gap", "size", "before"]))
+    hidden = x[:, 0] == 0
+    assert set(y[hidden]) == {0.0, 1.0}
+    column = T.fit(x[hidden], y[hidden])
+    assert column["trees"][0]["feature"] == 2
+
+
+def test_the_model_decides_unsure_lines(spark, monkeypatch):
+    rows = [(1, i, ("Leonardo Pellhaven" if i % 3 == 0 else "Pascal Kelstead"), f"Line {i}.", 1000.0 * i) for i in range(300)] + [(1, 300, "Leonardo Pelhavven", "Unsure.", 300_000.0), (1, 301, None, "After.", 301_000.0)]
+    turns = spark.createDataFrame(rows, "call_id long, line_no int, speaker string, text string, start_ms double")
+    calls = spark.createDataFrame([(1, [("1", "Pascal Kelstead"), ("2", "Leonardo Pellhaven")])], "call_id long, speakers array<struct<spk_id:string,spk_name:string>>")
+    said = lambda: {r.clean: (r.speaker, r.opens) for r in T.attributed(turns, calls).collect()}
+    fitted = said()
+    assert (fitted["Unsure."], fitted["After."]) == (("2", 1), ("2", 0))
+    monkeypatch.setattr(T, "fit", lambda x, y: {"base": -5.0, "rate": 0.4, "trees": []})
+    never = said()
+    assert (never["Unsure."], never["After."]) == (("1", 0), ("1", 0))
+    assert never["Line 3."] == fitted["Line 3."] == ("2", 1)
