@@ -130,7 +130,8 @@ def disclosure(people: DataFrame, candidates: DataFrame) -> DataFrame:
     spelled = people.filter(F.col("name").rlike(r"\S")).groupBy("name").agg(F.count("*").alias("n")).withColumn("p", split_name("name")).filter("p.given IS NOT NULL")
     named = spelled.select(F.explode(F.array(F.struct(F.col("p.given").alias("term"), F.lit(1).alias("g")), F.struct(F.col("p.surname").alias("term"), F.lit(0).alias("g")))).alias("t"), "n")
     named = named.groupBy(F.col("t.term").alias("term")).agg(F.sum(F.when(F.col("t.g") == 1, F.col("n")).otherwise(0)).alias("as_given"), F.sum("n").alias("in_names"))
-    seen = candidates.groupBy(F.col("given").alias("term")).agg(F.count("*").alias("in_texts"))
+    # By distinct pairs: copies of a text, or one person spoken of everywhere, say no more about a term than one occurrence.
+    seen = candidates.select("given", "rest").distinct().groupBy(F.col("given").alias("term")).agg(F.count("*").alias("in_texts"))
     all_given, all_texts = (float(x.first()[0] or 0) for x in (named.agg(F.sum("as_given")), seen.agg(F.sum("in_texts"))))  # two numbers
     scored = seen.join(named, "term")
     share = F.col("as_given") / F.col("in_names")

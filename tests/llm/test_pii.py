@@ -36,3 +36,11 @@ def test_names_by_disclosure(spark):
     assert clean[3] == by_row[3]
     assert clean[4] is None
     assert find_pii(df.limit(0), people).count() == 0
+
+
+def test_copies_do_not_hide_a_name(spark):
+    people = spark.createDataFrame([(f"{g}.{s}",) for g in ("esme", "kenji", "orla", "tomas", "wanda", "piet", "runa", "idris", "vera", "lars") for s in ("halsson", "ostfeld", "varberg")] * 2, "name string")
+    texts = [("t", i, "Please call Esme Halsson today.", False) for i in range(400)] + [("t", 1000 + i, f"See Harbor Vault{'abcdefghij'[i]} again.", False) for i in range(10)]
+    df = spark.createDataFrame(texts, "src_table string, row_id long, text string, labelled boolean")
+    found = find_pii(df, people).filter("pii_type = 'NAME'")
+    assert found.count() == 400
