@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselight.catalog import query
 from caselight.operators import text as X
 from caselight.operators.nested import nodes, ticket_table
-from caselight.operators.ranking import top_per_group
+from caselight.operators.ranking import recency_boost, top_per_group
 from caselight.operators.retrieval import bm25, dense_topk, lexical_rerank, reciprocal_rank_fusion
+from caselight.session import cut_lineage
 from caselight.tables import table
 
 _LINES = "list_transform(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(x))"
@@ -213,12 +215,25 @@ def q_dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense_topk(rows, rows.filter("id % 50 = 0").withColumnRenamed("id", "query_id"))
 
 
+def _dense(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, doc_id, score, rank by vectors. The tables hold no vectors of questions; as the survey has it, the row of ``embeddings`` with the question's id stands for it,
+    and vec_id is the doc_id."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    held = rows.join(_corpus(spark, d).select(F.col("doc_id").alias("id")), "id", "left_semi")
+    # Negative, because a search leaves out the row with the query's id, which here is another thing.
+    asked = rows.join(_questions(spark, d).select(F.col("query_id").alias("id")), "id", "left_semi").select((-F.col("id") - 1).alias("query_id"), "vector")
+    return dense_topk(held, asked).select((-F.col("query_id") - 1).alias("query_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
+def _fused(spark: SparkSession, d: str, k: int) -> DataFrame:
+    fused = reciprocal_rank_fusion([_dense(spark, d), bm25(_corpus(spark, d), _questions(spark, d))])
+    return top_per_group(fused, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+
+
 @query("q_rrf")
 def q_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """Two lexical rankings fused: that of the question and that of the reference answer."""
-    by_answer = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("reference_answer").alias("text"))
-    fused = reciprocal_rank_fusion([bm25(_corpus(spark, d), _questions(spark, d)), bm25(_corpus(spark, d), by_answer)])
-    return top_per_group(fused, ["query_id"], [F.desc("score"), F.asc("doc_id")], 6)
+    """The dense and the lexical ranking of each question, fused."""
+    return _fused(spark, d, 6)
 
 
 @query("q_rerank")
@@ -226,13 +241,24 @@ def q_rerank(spark: SparkSession, d: str) -> DataFrame:
     return lexical_rerank(bm25(_corpus(spark, d), _questions(spark, d)), _corpus(spark, d), _questions(spark, d))
 
 
+# Fixed value: words that ask for what is recent.
+RECENT = r"(?i)\b(?:recent|latest|last (?:call|meeting|week|month|quarter|year)|yesterday|today|this (?:week|month|quarter|year)|current|new(?:est)?|since|most recent|just|lately)\b"
+
+
 @query("q_hybrid_full")
 def q_hybrid_full(spark: SparkSession, d: str) -> DataFrame:
-    """Fusion, re-ranking, then at most two documents of one customer."""
-    fused = q_rrf(spark, d)
-    reranked = lexical_rerank(fused.select("query_id", "doc_id", "rank"), _corpus(spark, d), _questions(spark, d))
-    owners = table(spark, d, "documents").select("doc_id", "customer_slug")
-    return top_per_group(reranked.withColumnRenamed("rank", "place").join(owners, "doc_id"), ["query_id", "customer_slug"], [F.asc("place")], 2).select("query_id", "doc_id", "share", "place")
+    """Dense and lexical lists fused whole, re-ranked, at most two documents of one customer, their parent chunks; the newer first where the question asks for what is recent."""
+    documents = table(spark, d, "documents")
+    reranked = lexical_rerank(_fused(spark, d, 20).select("query_id", "doc_id", "rank"), _corpus(spark, d), _questions(spark, d))
+    owners = documents.select("doc_id", "customer_slug", "doc_date")
+    capped = top_per_group(reranked.withColumnRenamed("rank", "place").join(owners, "doc_id"), ["query_id", "customer_slug"], [F.asc("place")], 2).select("query_id", "doc_id", "share", "place", "doc_date")
+    capped = cut_lineage(capped)
+    chunks = X.exploded_chunks(documents.join(capped.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text", lambda t: X.recursive_chunks(t, 2400, 200))
+    parents = capped.join(chunks, "doc_id", "left").withColumn("_place", F.row_number().over(W.partitionBy("query_id").orderBy("place", "chunk_index")) - 1)
+    boosted = recency_boost(parents, "query_id", "_place", "doc_date").join(_questions(spark, d).select("query_id", F.coalesce(F.col("text").rlike(RECENT), F.lit(False)).alias("_recent")), "query_id")
+    position = F.row_number().over(W.partitionBy("query_id").orderBy(F.when(F.col("_recent"), -F.col("score")).otherwise(0.0), "_place"))
+    parent_id = F.when(F.col("chunk_index").isNotNull(), F.concat_ws("_", F.lit("p"), "doc_id", "chunk_index"))
+    return boosted.select("query_id", "doc_id", parent_id.alias("parent_chunk_id"), "chunk", "share", "place", position.alias("position"))
 
 
 @query("q_ir_metrics")

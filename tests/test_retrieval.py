@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from caselight.operators.retrieval import bm25, dense_topk, reciprocal_rank_fusion
 
@@ -41,3 +42,31 @@ def test_fusion(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, doc_id long, rank long")
     got = {r.doc_id: r.score for r in reciprocal_rank_fusion([a, a.filter("doc_id = 11").drop("rank").selectExpr("*", "1L AS rank")]).collect()}
     assert got[11] > got[10]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Ten documents of which the question shares words with the first alone; its vector is that of the last."""
+    d = str(tmp_path_factory.mktemp("tables"))
+    texts = ["zinc relay " * 300, *[f"other{i}" for i in range(2, 11)]]
+    dates = ["2020-01-01", *["2025-01-01"] * 9]
+    spark.createDataFrame([(i + 1, x, f"c{i}", dates[i]) for i, x in enumerate(texts)], "doc_id long, text string, customer_slug string, doc_date string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, 0.0] if i in (1, 10) else [0.1 * i, 1.0]) for i in range(1, 11)], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(1, "What is the latest on zinc relay?"), (2, "zinc")], "item_id long, question string").write.parquet(f"{d}/eval_items.parquet")
+    return d
+
+
+def test_fusion_has_a_dense_side(spark, tables):
+    from caselight.plans.documents import q_rrf
+
+    got = {r.doc_id for r in q_rrf(spark, tables).filter("query_id = 1").collect()}
+    assert {1, 10} <= got  # 10 shares no word with the question; 1 has its id
+
+
+def test_hybrid_gives_parents_and_the_recent_first(spark, tables):
+    from caselight.plans.documents import q_hybrid_full
+
+    got = q_hybrid_full(spark, tables).orderBy("query_id", "position").collect()
+    assert {r.parent_chunk_id for r in got if r.doc_id == 1} >= {"p_1_0", "p_1_1"}
+    assert [r.doc_id for r in got if r.query_id == 2][0] == 1
+    assert [r.doc_id for r in got if r.query_id == 1][0] != 1
