@@ -194,24 +194,25 @@ def meeting_type(filename: Column) -> Column:
     return F.nullif(F.regexp_extract(F.translate(F.lower(filename), "_", "-"), f"({'|'.join(MEETINGS)})", 1), F.lit(""))
 
 
-# The shapes of checkable facts.
+# The shapes of checkable facts: dates, amounts, percentages, quantities with units, versions, priorities, severities, ids, cloud regions, large counts.
 FACTS = (
-    r"\b\d{4}-\d{2}-\d{2}\b",
-    r"[$€£]\s?\d[\d,.]*\d",
-    r"\b\d+(?:\.\d+)?\s?(?:%|percent\b)",
-    r"\b\d+(?:\.\d+)?\s?(?:ms|seconds|minutes|hours|days|weeks|months|users|seats|records|tickets|items)\b",
-    r"\bv?\d+\.\d+\.\d+\b",
-    r"\bp[0-4]\b",
-    r"\bsev[ -]?[0-4]\b",
-    r"\b[a-z]{2,6}-\d{2,7}\b",
-    r"\b\d{1,3}(?:,\d{3})+\b",
+    r"\b\d{1,4}[-/]\d{1,2}[-/]\d{2,4}\b",
+    r"\$[\d,]+\.?\d*[KkMm]?",
+    r"\b\d+\.?\d*\s*%",
+    r"\b\d+\.?\d*\s*(?:hours?|days?|weeks?|months?|years?|minutes?|seconds?|ms|GB|MB|TB|KB)\b",
+    r"\bv?\d+\.\d+(?:\.\d+)*\b",
+    r"\bP[0-4]\b",
+    r"\b(?:Sev|SEV)[\s-]?[0-4]\b",
+    r"\b[A-Z]{2,5}-\d{3,6}\b",
+    r"\b(?:us|eu|ap|sa|ca|af|me)-(?:east|west|central|north|south|northeast|southeast|northwest|southwest)-[0-9]\b",
+    r"\b\d{1,3}(?:,\d{3})+\s*(?:events|records|requests|users|transactions|seats|rows)\b",
 )
 
 
 def facts(c: Column) -> Column:
     """The distinct facts of a text, in lower case and order."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(low, F.lit(p), 0) for p in FACTS])))
+    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(low, F.lit(f"(?i){p}"), 0) for p in FACTS])))
 
 
 def json_strings(text: str | None, least: int = 10) -> list[str]:

@@ -52,3 +52,30 @@ def test_aliases(spark):
     assert renamed(df, TICKET_ALIASES, ("ticket_id", "summary", "status")).first()[:3] == ("1", "s", "open")
     with pytest.raises(ValueError, match="missing"):
         renamed(df.drop("Issue Key"), TICKET_ALIASES, ("ticket_id",))
+
+
+def test_facts_of_the_reference(spark):
+    text = "On 9/25/2024 us-east-2 held 12 GB and 3 years of logs for $4.5M under v3.2; SEV-1, TICK-4521, P0, 99.9%, 50,000 records."
+    got = spark.createDataFrame([(text,)], "t string").select(X.facts(F.col("t"))).first()[0]
+    assert {"9/25/2024", "us-east-2", "12 gb", "3 years", "$4.5m", "v3.2", "sev-1", "tick-4521", "p0", "99.9%", "50,000 records"} <= set(got)
+
+
+def test_person_tiers(spark, tmp_path):
+    from caselight.plans.sections import person_filter
+
+    people = [("1", "Lee Park"), ("2", "Ana Gräf"), ("3", "Max Ode")]
+    spark.createDataFrame([(1, people)], "call_id long, speakers array<struct<spk_id:string,spk_name:string>>").write.parquet(f"{tmp_path}/calls.parquet")
+    lines = ["I believe so", "Park, Lee is here", "lee said", "Ana Gräf spoke", "ana again", "Max alone"]
+    spark.createDataFrame([(i, 1, x) for i, x in enumerate(lines)], "turn_row_id long, call_id long, text string").write.parquet(f"{tmp_path}/turns.parquet")
+    got = sorted(map(tuple, person_filter(spark, str(tmp_path)).collect()))
+    assert got == [(1, "lee park", 2), (3, "ana gräf", 1), (5, "max ode", 3)]
+
+
+def test_hallucination_asks_the_documents(spark, tmp_path):
+    from caselight.plans.documents import detect_hallucination
+
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "The relay costs $5.", "c", "2025-01-01"), (2, "other", "c", None)], "doc_id long, text string, customer_slug string, doc_date string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(1, "What costs the relay, $7?", "$5 and not $7")], "item_id long, question string, reference_answer string").write.parquet(f"{d}/eval_items.parquet")
+    assert detect_hallucination(spark, d).first().unsupported == "$7"
