@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Days (as a power of two) in a leaf of the tree, and of the root, which spans about 179 years from 1970.
-LEAF_BITS, ROOT_BITS = 6, 16
+#: Days (as a power of two) in a leaf of the tree, and of the root, which spans the years 1 to 9999 of the calendar.
+LEAF_BITS, ROOT_BITS = 6, 22
+#: The day, counted from 1970, at which the root begins: 0001-01-01.
+FIRST_DAY = -719162
 
 
 def plain_value(c: Column) -> Column:
@@ -26,7 +28,7 @@ def version_history(snapshots: DataFrame, entity: str, attributes: list[str], as
     the attributes' plain values. Rows without entity or without any date are left out, since they state nothing. An empty table gives no rows.
 
     Method: each (entity, date) is a unit interval. Leaves hold the runs of 64 days; each round merges two neighbouring blocks of an
-    entity, joining the runs that meet if their payloads are equal, until one block per entity is left: ten rounds for any data. All rounds
+    entity, joining the runs that meet if their payloads are equal, until one block per entity is left: sixteen rounds for any date. All rounds
     keep the entity's hash partitioning, so only the first aggregation (which combines before it shuffles, whatever an entity's number of
     snapshots) and none of the rounds moves rows. A block holds at most one run per calendar day.
     """
@@ -38,10 +40,10 @@ def version_history(snapshots: DataFrame, entity: str, attributes: list[str], as
             F.coalesce(stated, F.to_date(F.col(loaded_at))).alias("_date"),
             F.struct(F.coalesce(F.col(loaded_at).cast("timestamp"), F.lit("0001-01-01").cast("timestamp")).alias("at"), F.col(row_id).alias("id"), payload.alias("payload")).alias("_row"),
         )
-        .filter("_entity IS NOT NULL AND _date IS NOT NULL AND _date >= DATE'1970-01-01'")
+        .filter("_entity IS NOT NULL AND _date IS NOT NULL")
         .groupBy("_entity", "_date")
         .agg(F.max(F.struct("_row.at", "_row.id", "_row.payload")).alias("_row"))
-        .select("_entity", F.unix_date("_date").alias("_day"), F.col("_row.payload").alias("_payload"))
+        .select("_entity", (F.unix_date("_date") - FIRST_DAY).alias("_day"), F.col("_row.payload").alias("_payload"))
     )
     run_type = f"array<struct<day:int,payload:struct<{','.join(f'`{a}`:string' for a in attributes)}>>>"
 
@@ -68,7 +70,7 @@ def version_history(snapshots: DataFrame, entity: str, attributes: list[str], as
     return versions.select(
         F.col("_entity").alias(entity),
         (F.col("_at") + 1).cast("long").alias("version_no"),
-        F.date_from_unix_date("_run.day").cast("string").alias("valid_from"),
-        F.coalesce(F.date_from_unix_date(following).cast("string"), F.lit("9999-12-31")).alias("valid_to"),
+        F.date_from_unix_date(F.col("_run.day") + FIRST_DAY).cast("string").alias("valid_from"),
+        F.coalesce(F.date_from_unix_date(following + FIRST_DAY).cast("string"), F.lit("9999-12-31")).alias("valid_to"),
         *[F.col("_run.payload")[a].alias(a) for a in attributes],
     )

@@ -21,32 +21,25 @@ NODES_SCHEMA = "raw_id long, customer_slug string, source_system string, node_ki
 
 # The labels that tell the shapes apart.
 TICKET_IDS = ("key", "ticket_id", "id")
-BODY_LABELS = ("body",)
 TIME_LABELS = ("created_at", "timestamp", "created")
 AUTHOR_LABELS = ("displayName", "name")
-NOTE_LABELS = ("internal_notes",)
 
 
-def decoded(payload: str | None, depth: int = 6) -> Any:
-    """The value of a payload that can be read in full, if need be after removing a byte order mark or undoing string or base64 wrapping; else None."""
+def decoded(payload: str | None) -> Any:
+    """The value of a payload that can be read in full, if need be after removing byte order marks or undoing string or base64 wrapping, however often; else None."""
     value: Any = payload
-    for _ in range(depth):
-        if not isinstance(value, str):
-            return value
-        text = value.lstrip("﻿").strip()
-        if text.startswith("ï»¿"):
-            text = text[3:]
+    while isinstance(value, str):  # each step makes the text shorter
+        text = value.lstrip("\ufeff").strip().removeprefix("\u00ef\u00bb\u00bf")
         try:
             value = json.loads(text)
         except (ValueError, RecursionError):
             try:
-                raw = base64.b64decode(text, validate=True) if len(text) >= 16 else b""
-                value = raw.decode("utf-8")
+                value = base64.b64decode(text, validate=True).decode("utf-8")
             except (binascii.Error, ValueError):
                 return None
             if not value:
                 return None
-    return value if not isinstance(value, str) else None
+    return value
 
 
 def rich_text(node: Any) -> str:

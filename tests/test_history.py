@@ -50,3 +50,10 @@ def test_edges(spark):
     t = dt.datetime(2024, 1, 5, 8)
     rows = [(1, "x", "a", None, "2024-01-01", t), (2, "x", "A", "", "2024-01-02", t), (3, "x", "b", None, "2024-01-02", t), (4, "y", None, None, "", None), (5, "y", None, None, "no date", t)]
     assert got(spark.createDataFrame(rows, SCHEMA)) == [("x", 1, "2024-01-01", "2024-01-02"), ("x", 2, "2024-01-02", "9999-12-31"), ("y", 1, "2024-01-05", "9999-12-31")]
+
+
+def test_dates_of_any_year_form_one_history(spark):
+    days = ["0001-01-01", "1969-12-31", "1970-01-01", "1990-05-05", "2149-06-06", "2149-06-07", "2200-01-01", "9999-12-30"]
+    rows = [(i, "x", f"v{i}", None, d, dt.datetime(2024, 1, 1)) for i, d in enumerate(days)]
+    want = [("x", i + 1, d, [*days[1:], "9999-12-31"][i]) for i, d in enumerate(days)]
+    assert got(spark.createDataFrame(rows, SCHEMA)) == want

@@ -50,3 +50,13 @@ def test_deep_threads_do_not_recurse():
     for _ in range(400):
         c = {"author": "A", "body": "b", "replies": [c]}
     assert len(comments(json.dumps({"id": "T", "subject": "s", "comments": [c]}))) == 401
+
+
+def test_wrapping_of_any_depth_and_size():
+    import base64
+
+    text = json.dumps({"id": 1, "subject": "s", "comments": [{"author": "A", "body": "b"}]})
+    for n in range(12):
+        assert comments(text) == [("0", "", "A")], n
+        text = base64.b64encode(text.encode()).decode() if n % 3 == 2 else json.dumps(text)
+    assert list(flatten(base64.b64encode(b'{"a": 1}').decode())) == []
