@@ -51,6 +51,16 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 20, depth: int = 3, rate: fl
     return model
 
 
+def score_row(model: dict, x: list[float]) -> float:
+    """The log-odds of one row."""
+    out = model["base"]
+    for tree in model["trees"]:
+        while "value" not in tree:
+            tree = tree["left"] if x[tree["feature"]] <= tree["cut"] else tree["right"]
+        out += tree["value"] * model["rate"]
+    return out
+
+
 def margin_column(model: dict, features: list[Column]) -> Column:
     """The log-odds of ``model`` as one expression."""
 

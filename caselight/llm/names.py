@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from caselight.session import cut_lineage
 
-#: Rounds after which merging is given up as not converging; each round merges at least one profile of the remaining ones.
-MAX_ROUNDS = 20
-
 # Nicknames and the given names they stand for.
 NICKNAMES = {
     "alex": "alexander alexandra", "sasha": "alexander alexandra", "lex": "alexander", "ben": "benjamin", "benny": "benjamin", "beth": "elizabeth", "liz": "elizabeth", "eliza": "elizabeth", "betty": "elizabeth", "lisa": "elizabeth",
@@ -122,7 +119,7 @@ def _one_slip(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | swapped
 
 
-def link_names(spellings: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def link_names(spellings: DataFrame) -> DataFrame:
     """The class of each distinct spelling: grp, name, class_id, kind. Input: grp, name (repeated rows are counted as support).
 
     Spellings of different ``grp`` are never linked. Null and blank names, and those that are no name (kind ``none``), are classes of their own or, if null
@@ -146,7 +143,7 @@ def link_names(spellings: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     ordered = read.filter("kind = 'full' AND size(parts) < 4 AND size(links) <= 1").groupBy("grp", "unit").agg(F.flatten(F.collect_set("parts")).alias("sure"))
     units = units.join(ordered, ["grp", "unit"], "left").withColumn("parts", F.array_distinct(F.coalesce("sure", "parts"))).drop("sure")
     state = cut_lineage(units.withColumn("pid", F.col("unit")))
-    for _ in range(max_rounds):
+    while True:  # every round but the last merges at least one profile into another, so it ends
         weight = state.groupBy("grp", "pid").agg(F.sum("n").alias("support"), F.max(F.when(F.col("kind") == "part", 0).otherwise(1)).alias("whole"))
         profiles = state.join(weight, ["grp", "pid"])
         rank = F.struct("whole", "support", "pid")

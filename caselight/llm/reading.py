@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +48,8 @@ def language(lang: str | None, text: str | None) -> str:
     stated = (lang or "").strip().lower()[:2]
     if stated in STOPWORDS:
         return stated
-    words = [w.lower() for w in _WORD.findall((text or "")[:20000])]
-    return max(STOPWORDS, key=lambda k: (sum(w in STOPWORDS[k] for w in words), k))
+    counts = Counter(w.lower() for w in _WORD.findall(text or ""))
+    return max(STOPWORDS, key=lambda k: (sum(counts[w] for w in STOPWORDS[k]), k))
 
 
 def document_features(documents: DataFrame) -> DataFrame:
@@ -116,7 +117,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, training_documents:
     table = stats.toPandas().set_index("lng")
     graded = labels.filter("doc_id IS NOT NULL AND reading_level BETWEEN 1 AND 4").groupBy("doc_id").agg(F.avg("reading_level").alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(training_documents)
-    sample = feats.dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
+    # The labelled documents are picked out before repeated rows are dropped, so the features of the corpus aren't shuffled.
+    sample = feats.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
     if not len(sample):
         return feats.select("doc_id", F.lit(1).cast("long").alias("reading_level"), F.lit(0.0).alias("score"))
 

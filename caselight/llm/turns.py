@@ -1,7 +1,6 @@
 """Raw transcript lines made into clean, ordered speaker turns.
 
-Lines are deduplicated, timed and labelled (speaker normalisation against the call's participants); tokens are classed as speech, hesitation, sound note or
-time; whether a line with an unsure label begins another speaker's turn is decided by gradient-boosted trees over the label, gaps and context, fitted on a bounded sample
+Lines are deduplicated, timed and labelled (speaker normalisation against the call's participants); tokens are classed as speech or filler (``fillers``); whether a line with an unsure label begins another speaker's turn is decided by gradient-boosted trees over the label, gaps and context, fitted on a bounded sample
 of lines with sure labels into which slips are written.
 """
 
@@ -19,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselight.llm.boosting import fit, margin_column
+from caselight.llm.fillers import TRAINING_LINES, TokenModel, cleaned, fit_tokens
 from caselight.llm.names import NICKNAMES, folded
 from caselight.session import cut_lineage
 
@@ -31,19 +31,10 @@ LEAST_PAIRS = 100
 #: A block of a call: so many minutes of a timed call, so many lines of another. Long calls are worked on block by block.
 BLOCK_MINUTES, BLOCK_LINES = 20, 500
 
-# Hesitation sounds and filler phrases.
-SOUNDS = frozenset("uh um er erm hmm hm uhm ah eh mm mhm uhh umm hmmm äh ähm euh".split())
-PHRASES = ("you know", "i mean", "like", "sort of", "kind of")
-_FIRST_WORDS: dict[str, list[list[str]]] = {f.split()[0]: [f.split()] for f in PHRASES}
-_HINT = re.compile(rf"[\[(<*]|-\s|\b(?:{'|'.join(sorted(SOUNDS | set(PHRASES)))})\b|^[\s\W]+|\.\.", re.IGNORECASE)
-
 _TIME = re.compile(r"^\s*[\[(]?(?:(\d{1,2}):)?(\d{1,2}):(\d{2})(?:[.,](\d{1,3}))?[\])]?(?:\s*-->\s*(?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?)?(?=\s|$|[-–])\s*[-–]?\s*")
-_NOTE = re.compile(r"\[\s*[A-Za-z][\w -]{1,30}\]|\({1,2}\s*[a-z][\w -]{1,30}\s*\){1,2}|<[a-z][\w -]{1,30}>|\*[a-z][\w -]{1,30}\*", re.IGNORECASE)
 _LABEL = re.compile(r"^\s*(?:>>\s*)?([^\W\d_][^:\n]{0,58}?)\s*:(?=\s|$)\s*")
 _NUMBERED = re.compile(r"^(?:spk|speaker|sprecher|participant|s)[\s_#-]*(\w+)$")
 _REMARK = re.compile(r"\s*(?:\([^)]*\)|\[[^\]]*\]|\s[-–]\s+\w+)\s*$")
-_PIECE = re.compile(r"\[[^\]]*\]|\({1,2}[^)]*\){1,2}|<[^>]*>|\*[^*]*\*|[^\W_]+(?:['’-][^\W_]+)*|\s+|.", re.DOTALL)
-
 
 @lru_cache(maxsize=4096)
 def _participants(speakers: str | None) -> tuple[tuple[str, str, str], ...]:
@@ -123,78 +114,34 @@ def _written_with_slips(words: list[str], joined: str, given: str, surname: str)
     return {0: 70, 1: 70, 2: 60}.get(min(_slips(joined, f"{given} {surname}"), _slips(joined, f"{surname} {given}")), 0)
 
 
-def token_classes(text: str) -> list[tuple[str, str]]:
-    """(token, class) with the classes ``speech``, ``sound``, ``phrase``, ``note``, ``mark`` and ``blank``.
-
-    A filler phrase counts as one only where its context shows it: set off by a comma behind it and not the object or verb of its clause.
-    """
-    pieces = _PIECE.findall(text)
-    out: list[tuple[str, str]] = []
-    i, n = 0, len(pieces)
-    while i < n:
-        p = pieces[i]
-        if p[0].isalnum():
-            low = p.lower()
-            words = _FIRST_WORDS.get(low)
-            kind = "sound" if low in SOUNDS else "speech"
-            for phrase in words or ():
-                end = i + 2 * len(phrase) - 1
-                if end < n and pieces[end] == "," and [x.lower() for x in pieces[i:end:2]] == phrase:
-                    p, kind, i = "".join(pieces[i:end]), "phrase", end - 1
-                    break
-            out.append((p, kind))
-        elif p.isspace():
-            out.append((p, "blank"))
-        else:
-            out.append((p, "note" if len(p) > 1 and _NOTE.fullmatch(p) else "mark"))
-        i += 1
-    return out
-
-
-def cleaned(text: str) -> str:
-    """``text`` without hesitations, filler phrases, sound notes, and words said twice around a dash."""
-    return _joined(token_classes(text)) if _HINT.search(text) else re.sub(r"\s+", " ", text).strip()
-
-
-def _joined(classes: list[tuple[str, str]]) -> str:
-    kept, skip = [], False
-    for token, kind in classes:
-        if kind in ("sound", "phrase", "note"):
-            skip = True
-        elif skip and kind == "mark" and token in ",-.…":
-            continue
-        else:
-            kept.append(" " if kind == "blank" else token)
-            skip = skip and kind == "blank"
-    out = re.sub(r"\b([^\W\d_]+)-\s+\1\b", r"\1", "".join(kept), flags=re.IGNORECASE)
-    return re.sub(r"^[\s,\-–.…]+|[\s,\-–]+$", "", re.sub(r"\s+([,.;:!?])", r"\1", re.sub(r"\s+", " ", out)))
-
-
-def read_line(speaker: str | None, text: str | None, start_ms: float | None, speakers: str | None) -> tuple[float | None, str | None, int, bool, str, bool]:
+def read_line(speaker: str | None, text: str | None, start_ms: float | None, speakers: str | None, model: TokenModel | None = None) -> tuple[float | None, str | None, int, bool, str, bool]:
     """(time, spk_id, certainty, labelled, clean text, says something) of a line."""
-    return _read(speaker, text, start_ms, speakers)[:6]
+    return _read(speaker, text, start_ms, speakers, model or TokenModel())[:6]
 
 
-def _read(speaker: str | None, text: str | None, start_ms: float | None, speakers: str | None) -> tuple[float | None, str | None, int, bool, str, bool, str | None]:
+def _read(speaker: str | None, text: str | None, start_ms: float | None, speakers: str | None, model: TokenModel) -> tuple[float | None, str | None, int, bool, str, bool, str | None]:
     """``read_line`` and the label as written."""
     rest = text or ""
     at = None if start_ms is None or start_ms != start_ms else float(start_ms)
-    if m := _TIME.match(rest):
-        rest = rest[m.end() :]
-        if at is None:
-            at = (int(m[1] or 0) * 3600 + int(m[2]) * 60 + int(m[3])) * 1000.0 + float((m[4] or "0").ljust(3, "0"))
+    stated, rest = _time_at_head(rest)
     label = speaker if speaker and speaker.strip(" >:\t") else None
     if m := _LABEL.match(rest):
         spk, sure = resolved(m[1], speakers)
         if spk is not None and sure >= 1:
-            rest = rest[m.end() :]
+            behind, rest = _time_at_head(rest[m.end() :])
+            stated = behind if stated is None else stated
             label = label or m[1]
+    at = stated if at is None else at
     spk, sure = resolved(label, speakers) if label else (None, 0)
-    if not _HINT.search(rest):
-        clean = re.sub(r"\s+", " ", rest).strip()
-        return at, spk, sure, label is not None, clean, bool(clean), label
-    classes = token_classes(rest)
-    return at, spk, sure, label is not None, _joined(classes), any(k == "speech" for _, k in classes), label
+    clean, says = cleaned(rest, model)
+    return at, spk, sure, label is not None, clean, says, label
+
+
+def _time_at_head(text: str) -> tuple[float | None, str]:
+    """The time a text begins with, in milliseconds, and the text behind it."""
+    if not (m := _TIME.match(text)):
+        return None, text
+    return (int(m[1] or 0) * 3600 + int(m[2]) * 60 + int(m[3])) * 1000.0 + float((m[4] or "0").ljust(3, "0")), text[m.end() :]
 
 
 def _pair(speakers: str | None) -> list[str] | None:
@@ -209,22 +156,35 @@ def _people(calls: DataFrame) -> DataFrame:
 _LINE = "struct<at:double,spk:string,sure:int,labelled:boolean,clean:string,says:boolean,label:string,pair:array<string>>"
 
 
+def token_model(turns: DataFrame, lines: int = TRAINING_LINES) -> TokenModel:
+    """The filler model of ``turns``, fitted in the driver on at most ``lines`` distinct texts, the first by a hash."""
+    texts = turns.filter(F.col("text").rlike(r"\w")).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(lines)
+    return fit_tokens(sorted({r.text for r in texts.collect()}))
+
+
 def timed_lines(turns: DataFrame, calls: DataFrame) -> DataFrame:
     """One row per distinct line: call_id, line_no, at, spk, sure, labelled, clean, says, label, pair (the participants of a call of two, for a label that names none), timed, block."""
+    model = token_model(turns)
 
     @F.pandas_udf(_LINE)
     def read(speaker: pd.Series, text: pd.Series, start: pd.Series, speakers: pd.Series) -> pd.DataFrame:
-        rows = [_read(*x) for x in zip(speaker, text, start, speakers, strict=True)]
+        rows = [_read(*x, model) for x in zip(speaker, text, start, speakers, strict=True)]
         pairs = [_pair(s) if r[3] and r[1] is None else None for r, s in zip(rows, speakers, strict=True)]
         return pd.DataFrame([(*r, x) for r, x in zip(rows, pairs, strict=True)], columns=["at", "spk", "sure", "labelled", "clean", "says", "label", "pair"])
 
     people = _people(calls)
-    once = turns.filter("call_id IS NOT NULL").select("call_id", "line_no", "speaker", "text", F.col("start_ms").cast("double").alias("start_ms")).dropDuplicates(["call_id", "line_no", "speaker", "text", "start_ms"])
-    lines = once.join(people, "call_id", "left").withColumn("r", read("speaker", "text", "start_ms", "_people")).select("call_id", "line_no", "r.*")
+    file_block = F.floor(F.coalesce("line_no", F.lit(0)) / BLOCK_LINES).cast("long").alias("_file_block")
+    once = turns.filter("call_id IS NOT NULL").select("call_id", file_block, "line_no", "speaker", "text", F.col("start_ms").cast("double").alias("start_ms")).repartition("call_id", "_file_block")
+    once = once.dropDuplicates(["call_id", "_file_block", "line_no", "speaker", "text", "start_ms"])
+    lines = once.join(people, "call_id", "left").withColumn("r", read("speaker", "text", "start_ms", "_people")).select("call_id", "_file_block", "line_no", "r.*")
     lines = cut_lineage(lines)
-    timed = lines.groupBy("call_id").agg(F.coalesce(F.max(F.col("at") > 0), F.lit(False)).alias("timed"))
-    lines = lines.join(timed, "call_id").withColumn("at", F.when(F.col("timed"), F.col("at")))
-    block = F.when(F.col("timed"), F.floor(F.coalesce("at", F.lit(0.0)) / (BLOCK_MINUTES * 60_000))).otherwise(F.floor(F.coalesce("line_no", F.lit(0)) / BLOCK_LINES))
+    # A line of a timed call that states no time stands at the time of the line before it in the file.
+    w_file = W.partitionBy("call_id").orderBy("_file_block")
+    parts = lines.groupBy("call_id", "_file_block").agg(F.coalesce(F.max(F.col("at") > 0), F.lit(False)).alias("timed"), F.max_by("at", F.when(F.col("at").isNotNull(), F.struct("line_no", "at"))).alias("_last_at"))
+    parts = parts.select("call_id", "_file_block", F.max("timed").over(W.partitionBy("call_id")).alias("timed"), F.last("_last_at", ignorenulls=True).over(w_file.rowsBetween(W.unboundedPreceding, -1)).alias("_at_before"))
+    known = F.last("at", ignorenulls=True).over(W.partitionBy("call_id", "_file_block").orderBy("line_no", "at").rowsBetween(W.unboundedPreceding, 0))
+    lines = lines.join(parts, ["call_id", "_file_block"]).withColumn("at", F.when(F.col("timed"), F.coalesce("at", known, "_at_before", F.lit(0.0)))).drop("_at_before", "_file_block")
+    block = F.when(F.col("timed"), F.floor(F.col("at") / (BLOCK_MINUTES * 60_000))).otherwise(F.floor(F.coalesce("line_no", F.lit(0)) / BLOCK_LINES))
     return lines.withColumn("block", block.cast("long"))
 
 
@@ -280,7 +240,6 @@ def attributed(turns: DataFrame, calls: DataFrame, training_pairs: int = TRAININ
     """
     lines = timed_lines(turns, calls)
     order = ["at", "line_no"]
-    # Lines of a timed call without any time keep their place by line number behind the last time known there.
     w_block = W.partitionBy("call_id", "block").orderBy(*order)
     so_far = w_block.rowsBetween(W.unboundedPreceding, 0)
     lines = lines.withColumn("_known", F.last("spk", ignorenulls=True).over(so_far)).withColumn("_before", F.lag("_known").over(w_block)).withColumn("_gap", F.coalesce(F.col("at") - F.lag("at").over(w_block), F.lit(0.0)) / 1000)
@@ -321,7 +280,8 @@ def speaker_turns(turns: DataFrame, calls: DataFrame) -> DataFrame:
     """call_id, turn_no, spk_id, start_ms, text of every clean turn.
 
     Null or empty texts say nothing; a repeated line counts once; calls without participants give no turns. Times that are missing in the whole call are 0. Ties of time go
-    by line number. A call of any length is worked on in blocks of bounded time, so no task holds a whole one.
+    by line number; a line without time in a timed call stands behind the line before it in the file. A call of any length is worked on in blocks of bounded time; only the
+    text of one turn, however long, is a single value.
     """
     lines = numbered(attributed(turns, calls))
     return lines.groupBy("call_id", "turn_no").agg(

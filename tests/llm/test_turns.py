@@ -1,7 +1,7 @@
 import pandas as pd
 
 from caselight.llm import turns as T
-from caselight.llm.turns import cleaned, read_line, resolved, speaker_turns
+from caselight.llm.turns import read_line, resolved, speaker_turns
 
 PEOPLE = '[{"spk_id": "1", "spk_name": "Pascal Kelstead"}, {"spk_id": "2", "spk_name": "Leonardo Pellhaven"}]'
 
@@ -17,8 +17,8 @@ def test_lines():
     assert read_line(None, "00:00:39.727 --> 00:00:41.627\nLeonardo (Customer): um, yes", None, PEOPLE) == (39727.0, "2", 2, True, "yes", True)
     for text in ("Um. [laughter]", "...", "*coughs*- *coughs*", "uhm -  [Applause]", "[00:01:27]", "", None, "hmm ((pause))"):
         assert not read_line("Pascal", text, 5.0, PEOPLE)[5], text
-    assert cleaned("The- the app may hmm, be clear, you know, on Thursday.") == "The app may be clear, on Thursday."
-    assert cleaned("They like the form.") == "They like the form."
+    assert read_line("Pascal", "The- the app may hmm, be clear, you know, on Thursday.", 1.0, PEOPLE)[4] == "The app may be clear, on Thursday."
+    assert read_line("Pascal", "They like the form.", 1.0, PEOPLE)[4] == "They like the form."
 
 
 def test_turns(spark):
@@ -56,3 +56,11 @@ def test_the_model_decides_unsure_lines(spark, monkeypatch):
     never = said()
     assert (never["Unsure."], never["After."]) == (("1", 0), ("1", 0))
     assert never["Line 3."] == fitted["Line 3."] == ("2", 1)
+
+
+def test_a_line_without_time_stays_behind_the_one_before(spark):
+    rows = [(1, 1, "Pascal", "One.", 1000.0), (1, 2, "Leonardo", "Two.", 2000.0), (1, 3, "Pascal", "Three.", None), (1, 4, "Leonardo", "Four.", 4000.0), (1, 500, "Pascal", "Late.", None)]
+    turns = spark.createDataFrame(rows, "call_id long, line_no int, speaker string, text string, start_ms double")
+    calls = spark.createDataFrame([(1, [("1", "Pascal Kelstead"), ("2", "Leonardo Pellhaven")])], "call_id long, speakers array<struct<spk_id:string,spk_name:string>>")
+    got = [(r.spk_id, r.start_ms, r.text) for r in speaker_turns(turns, calls).orderBy("turn_no").collect()]
+    assert got == [("1", 1000, "One."), ("2", 2000, "Two."), ("1", 2000, "Three."), ("2", 4000, "Four."), ("1", 4000, "Late.")]
