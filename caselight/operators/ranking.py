@@ -26,6 +26,11 @@ def latest_flags(df: DataFrame, group: list[str], version: str, flag: str = "is_
     return df.drop(flag).join(newest, group).withColumn(flag, F.when(F.col(version) == F.col("_newest"), 1).otherwise(0)).drop("_newest")
 
 
+def diversity_cap(ranked: DataFrame, group: list[str], source: str, order: Column, k: int = 2) -> DataFrame:
+    """The rows of a ranked list without those behind the first ``k`` of their source; order and ranks stay."""
+    return top_per_group(ranked, [*group, source], [order], k, "_nth").drop("_nth")
+
+
 def recency_boost(ranked: DataFrame, group: str, position: str, date: str) -> DataFrame:
     """``ranked`` with ``score``: 0.4 by position (from 0) and 0.6 by age; a missing or bad date counts as 1970-01-01 and stretches the span."""
     w = W.partitionBy(group)
@@ -33,3 +38,16 @@ def recency_boost(ranked: DataFrame, group: str, position: str, date: str) -> Da
     n, oldest, newest = F.count("*").over(w), F.min("_days").over(w), F.max("_days").over(w)
     span = F.greatest(newest - oldest, F.lit(1))
     return ranked.withColumn("_days", days).withColumn("score", F.round(0.4 * (n - F.col(position)) / n + 0.6 * (F.col("_days") - oldest) / span, 6)).drop("_days")
+
+
+def previous_in_blocks(df: DataFrame, group: str, block: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: ``value`` of the row before in its group, by ``order`` (which must be total); null for the first.
+
+    ``block`` must not decrease along ``order``. A group is worked on block by block and takes the last value of the blocks before from a summary of one row per block, so a
+    group of any size is spread over tasks."""
+    blocked = df.withColumn("_block", block)
+    last = blocked.groupBy(group, "_block").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    carried = last.select(group, "_block", F.lag("_last").over(W.partitionBy(group).orderBy("_block")).alias("_carry"))
+    w = W.partitionBy(group, "_block").orderBy(*order)
+    inside = blocked.withColumn("_in", F.lag(F.struct(F.col(value).alias("v"))).over(w))
+    return inside.join(carried, [group, "_block"]).withColumn(name, F.coalesce("_in", "_carry")["v"]).drop("_block", "_in", "_carry")

@@ -16,6 +16,11 @@ BULLETS = "•-*–○▸·"
 LABEL = r"^([A-Za-zÀ-ɏ][A-Za-z0-9À-ɏ _-]{0,40}):\s+(.+)$"
 
 
+def alternatives(words: tuple[str, ...]) -> str:
+    """A pattern for any of ``words`` (patterns themselves) as whole words."""
+    return rf"\b(?:{'|'.join(words)})\b"
+
+
 def word_count(c: Column) -> Column:
     """Words between white space; 0 for null and blank."""
     t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
@@ -125,6 +130,16 @@ def exploded_chunks(df: DataFrame, key: str, text: str, chunker: Callable[[str |
     return df.select(key, text).mapInPandas(run, f"{key} {dtype}, chunk_index int, chunk string, n_words int")
 
 
+def split_column(chunker: Callable[[str | None], list[str]]) -> Callable[[Column], Column]:
+    """``chunker`` as a function of a column, in Arrow batches: an array of parts per text."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([chunker(t) for t in texts], dtype="object")
+
+    return run
+
+
 def merged_turns(turns: list[tuple[str, str]], limit: int = 120) -> list[tuple[str, str]]:
     """Consecutive turns of one speaker merged while their words stay within ``limit``; a first turn may exceed it."""
     out: list[list[str]] = []
@@ -140,58 +155,206 @@ def merged_turns(turns: list[tuple[str, str]], limit: int = 120) -> list[tuple[s
     return [(a, b) for a, b in out]
 
 
+# Separators that end the head of a transcript, and the keys of its lines.
+HEAD_ENDS = ("---", "—", "***", "===")
+HEAD_KEYS = frozenset("date duration attendees participants location meeting subject time organizer host agenda title summary project call recorded transcribed".split())
+# Cue times of VTT and SRT files, SRT counters, and the time lines of Zoom and Teams exports.
+VTT_TIME, SRT_TIME = r"\d{2}:\d{2}:\d{2}\.\d{3}\s+-->\s+\d{2}:\d{2}:\d{2}\.\d{3}", r"\d{2}:\d{2}:\d{2},\d{3}\s+-->\s+\d{2}:\d{2}:\d{2},\d{3}"
+SRT_COUNT, ZOOM_TIME, TEAMS_TIME = r"^\d+\s*$", r"^\d{1,2}:\d{2}:\d{2}\s*$", r"^\d{1,2}:\d{2}\s*[AaPp][Mm]\s*$"
+
+
+def without_head(lines: list[str]) -> list[str]:
+    """The lines behind the first separator; without one, those behind the leading lines whose label is a key of the head."""
+    bare = [x.strip() for x in lines]
+    if ends := [i for i, x in enumerate(bare) if x in HEAD_ENDS]:
+        return lines[ends[0] + 1 :]
+    first = 0
+    for i, x in enumerate(bare):
+        m = re.match(LABEL, x)
+        if m and m[1].strip().lower() in HEAD_KEYS:
+            first = i + 1
+        elif x:
+            break
+    return lines[first:]
+
+
 def plain_turns(text: str | None) -> list[tuple[str, str]]:
-    """(speaker, utterance) of a plain transcript: a labelled line opens a turn, others continue it; text before the first label is dropped."""
+    """(speaker, utterance) of a plain transcript behind its head: a labelled line opens a turn, others continue it; text before the first label is said by ``Speaker``."""
+    return _labelled(without_head((text or "").splitlines()))
+
+
+def _labelled(lines: list[str]) -> list[tuple[str, str]]:
     out: list[list[str]] = []
-    for line in (text or "").splitlines():
-        if m := re.match(LABEL, line.strip()):
-            out.append([m[1], m[2]])
-        elif out and line.strip():
-            out[-1][1] += f" {line.strip()}"
-    return [(a, b) for a, b in out]
+    for line in lines:
+        if m := re.match(LABEL, line.rstrip()):
+            out.append([m[1].strip(), m[2].strip()])
+        elif line.strip():
+            if not out:
+                out.append(["Speaker", ""])
+            out[-1][1] = f"{out[-1][1]} {line.strip()}".strip()
+    return [(a, b) for a, b in out if b]
+
+
+def file_format(text: str | None) -> str:
+    """``transcript_format`` of one text, in a batch."""
+    lines = (text or "").splitlines()
+    bare = [x.strip() for x in lines]
+    if bare and bare[0].upper().startswith("WEBVTT"):
+        return "vtt"
+    if any(re.match(SRT_COUNT, a) and re.search(SRT_TIME, b) for a, b in zip(bare[:40], bare[1:41], strict=False)):
+        return "srt"
+    for name, pattern in (("zoom", ZOOM_TIME), ("teams", TEAMS_TIME)):
+        if sum(re.match(pattern, x) is not None for x in bare[:20]) >= 2:
+            return name
+    return "plain"
+
+
+def zoom_lines(lines: list[str]) -> list[str]:
+    """Blocks of a time, a speaker and words made into labelled lines; a block ends at the next time or at a blank line behind its words. Other lines stay."""
+    out: list[str] = []
+    block: list[str] | None = None
+
+    def close() -> None:
+        if block and len(block) > 1:
+            out.append(f"{block[0]}: {' '.join(block[1:])}")
+
+    for line in (x.strip() for x in lines):
+        if re.match(ZOOM_TIME, line):
+            close()
+            block = []
+        elif block is None:
+            if line:
+                out.append(line)
+        elif line:
+            block.append(line)
+        elif len(block) > 1:
+            close()
+            block = None
+    close()
+    return out
+
+
+def teams_lines(lines: list[str]) -> list[str]:
+    """Blocks of a speaker, a time and words made into labelled lines; a line is a speaker if the next one that isn't blank is a time. Lines outside blocks stay."""
+    bare = [x.strip() for x in lines]
+    following: list[str] = [""] * len(bare)
+    seen = ""
+    for i in range(len(bare) - 1, -1, -1):
+        following[i] = seen
+        seen = bare[i] or seen
+    out: list[str] = []
+    speaker, words = None, []
+    for line, behind in zip(bare, following, strict=True):
+        is_time = re.match(TEAMS_TIME, line) is not None
+        if line and not is_time and re.match(TEAMS_TIME, behind):
+            if speaker and words:
+                out.append(f"{speaker}: {' '.join(words)}")
+            speaker, words = line, []
+        elif speaker and line and not is_time:
+            words.append(line)
+        elif speaker and not line and words:
+            out.append(f"{speaker}: {' '.join(words)}")
+            speaker, words = None, []
+        elif line and not is_time:
+            out.append(line)
+    if speaker and words:
+        out.append(f"{speaker}: {' '.join(words)}")
+    return out
+
+
+def transcript_turns(text: str | None) -> list[tuple[str, str, int]]:
+    """(speaker, utterance, start_ms) of a transcript file of any format: a JSON export with segments, VTT, SRT, Zoom, Teams or plain text."""
+    stripped = (text or "").lstrip()
+    if stripped.startswith("{"):
+        try:
+            return segments(json.loads(stripped))
+        except (ValueError, AttributeError):
+            pass
+    lines, kind = (text or "").splitlines(), file_format(text)
+    if kind == "vtt":
+        lines = [x for x in map(str.strip, lines) if x and not x.upper().startswith("WEBVTT") and not re.search(VTT_TIME, x) and not all(":" in t for t in x.split())]
+    elif kind == "srt":
+        lines = [re.sub(r"<[^>]+>", "", x).strip() for x in map(str.strip, lines) if x and not re.match(SRT_COUNT, x) and not re.search(SRT_TIME, x)]
+    elif kind in ("zoom", "teams"):
+        lines = zoom_lines(lines) if kind == "zoom" else teams_lines(lines)
+    else:
+        lines = without_head(lines)
+    return [(a, b, 0) for a, b in _labelled(lines)]
+
+
+def segments(export: dict) -> list[tuple[str, str, int]]:
+    """The segments of a JSON export, with the names of its speakers; ``Speaker {id}`` where there is none, empty ones dropped."""
+    names = {str(s.get("id", "")): s.get("name") or f"Speaker {s.get('id', '?')}" for s in export.get("speakers") or []}
+    rows = [(str(x.get("spk_id", "")), (x.get("text") or "").strip(), int(x.get("start_offset") or 0)) for x in export.get("transcripts") or []]
+    return [(names.get(i, f"Speaker {i}"), t, at) for i, t, at in rows if t]
 
 
 def transcript_format(c: Column) -> Column:
-    """vtt, srt, zoom, teams or plain by the first lines of a file."""
-    head = F.slice(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), 1, 40)
-    has = lambda p: F.exists(head, lambda x: x.rlike(p))
-    return (
-        F.when(F.trim(F.coalesce(c, F.lit(""))).startswith("WEBVTT") | has(r"\d\d:\d\d:\d\d\.\d{3}\s*-->"), "vtt")
-        .when(has(r"\d\d:\d\d:\d\d,\d{3}\s*-->"), "srt")
-        .when(has(r"^\s*\[\d\d:\d\d:\d\d\]"), "zoom")
-        .when(has(r"^\s*\(\d\d:\d\d:\d\d\)"), "teams")
-        .otherwise("plain")
-    )
+    """vtt, srt, zoom, teams or plain by the first lines of a file; null is plain."""
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), lambda x: F.trim(x))
+    head = F.slice(lines, 1, 20)
+    numbered = F.exists(F.arrays_zip(F.slice(lines, 1, 40).alias("a"), F.slice(lines, 2, 40).alias("b")), lambda x: x["a"].rlike(SRT_COUNT) & F.coalesce(x["b"], F.lit("")).rlike(SRT_TIME))
+    twice = lambda p: F.size(F.filter(head, lambda x: x.rlike(p))) >= 2
+    return F.when(lines[0].rlike("(?i)^WEBVTT"), "vtt").when(numbered, "srt").when(twice(ZOOM_TIME), "zoom").when(twice(TEAMS_TIME), "teams").otherwise("plain")
+
 
+def vtt_text(c: Column) -> Column:
+    """A VTT text without header, cue times and cue settings."""
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), lambda x: F.trim(x))
+    settings = lambda x: F.forall(F.split(x, r"\s+"), lambda t: F.contains(t, F.lit(":")))
+    return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike("(?i)^WEBVTT") & ~x.rlike(VTT_TIME) & ~settings(x)), "\n")
 
-def cues_removed(c: Column) -> Column:
-    """A VTT or SRT text without header, counters, cue times and tags."""
-    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s*(?:\d\d:)?\d\d:\d\d[.,]\d{3}\s*-->\s*\S+[^\n]*?(?=\s|$)", ""), r"</?[a-z][^>]*>", "")))
-    return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^(?:WEBVTT.*|NOTE.*|\d+)$")), "\n")
+
+def srt_text(c: Column) -> Column:
+    """An SRT text without counters, cue times and tags."""
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), lambda x: F.trim(x))
+    kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(SRT_COUNT) & ~x.rlike(SRT_TIME))
+    return F.array_join(F.filter(F.transform(kept, lambda x: F.trim(F.regexp_replace(x, r"<[^>]+>", ""))), lambda x: x != ""), "\n")
+
+
+def base_name(c: Column) -> Column:
+    return F.element_at(F.split(F.coalesce(c, F.lit("")), "/"), -1)
 
 
 def filename_date(c: Column) -> Column:
-    """The ISO date a file name starts with, the first day of a ``YYYY-Qn`` quarter, or null."""
-    iso, quarter = r"^(\d{4}-\d{2}-\d{2})", r"^(\d{4})-[Qq]([1-4])"
-    month = F.lpad((F.regexp_extract(c, quarter, 2).try_cast("int") * 3 - 2).cast("string"), 2, "0")
-    return F.when(c.rlike(iso), F.regexp_extract(c, iso, 1)).when(c.rlike(quarter), F.concat(F.regexp_extract(c, quarter, 1), F.lit("-"), month, F.lit("-01")))
+    """The ISO date that a file name starts with (before an underscore), the first day of a ``YYYY-Qn`` quarter, or null."""
+    name, iso, quarter = base_name(c), r"^(\d{4}-\d{2}-\d{2})_", r"^(\d{4})-Q([1-4])_"
+    month = F.lpad((F.regexp_extract(name, quarter, 2).try_cast("int") * 3 - 2).cast("string"), 2, "0")
+    return F.when(name.rlike(iso), F.regexp_extract(name, iso, 1)).when(name.rlike(quarter), F.concat(F.regexp_extract(name, quarter, 1), F.lit("-"), month, F.lit("-01")))
+
+
+# Parts of a file name with the document type they show, in order of precedence, the types that endings stand for, and the shape of a valid name.
+TYPE_KEYWORDS = (
+    (("commitment", "commitments"), "commitment_tracker"),
+    (("account-notes", "account_notes", "account-note", "crm-notes"), "account_notes"),
+    (("qbr-deck", "qbr_deck", "slide", "deck", "presentation"), "qbr_deck"),
+    (("qbr", "status-call", "status_call", "incident-review", "incident_review", "kickoff", "renewal", "transcript"), "transcript"),
+    (("architecture", "solution", "design", "infra", "system"), "solution_architecture"),
+    (("ticket", "inc-", "bug-", "case-"), "ticket"),
+)
+TYPE_ENDINGS = {".pdf": "qbr_deck", ".docx": "qbr_deck", ".html": "solution_architecture", ".txt": "transcript"}
+VALID_NAME = r"^(\d{4}-\d{2}-\d{2}|\d{4}-Q[1-4])_([a-z][a-z0-9_-]*)_(.+)\.(txt|pdf|docx|html|csv|json)$"
+# Meeting types as file names show them, in order of precedence.
+MEETINGS = ("qbr", "status-call", "status_call", "incident-review", "incident_review", "kickoff", "renewal")
 
 
-# Keywords of the document types, in order of precedence, and of the meeting types.
-TYPE_KEYWORDS = (("transcript", "transcript"), ("qbr", "qbr_deck"), ("commitment", "commitment_tracker"), ("ticket", "ticket"), ("solution", "solution_architecture"), ("architecture", "solution_architecture"), ("notes", "account_notes"))
-MEETINGS = ("kickoff", "status-call", "qbr", "renewal", "incident-review", "demo", "escalation")
+def extension(filename: Column) -> Column:
+    """The ending with its dot, in lower case; '' where there is none."""
+    return F.regexp_extract(F.lower(base_name(filename)), r"(\.[^.]*)$", 1)
 
 
 def inferred_type(filename: Column) -> Column:
+    """The type that a file name's words show, else that of its ending; null where neither tells."""
     name = F.lower(F.coalesce(filename, F.lit("")))
-    out = F.lit(None).cast("string")
-    for keyword, kind in reversed(TYPE_KEYWORDS):
-        out = F.when(name.contains(keyword), kind).otherwise(out)
-    return out
+    endings = F.create_map(*[F.lit(x) for kv in TYPE_ENDINGS.items() for x in kv])
+    rules = [F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(name, w)), kind) for words, kind in TYPE_KEYWORDS]
+    return F.coalesce(*rules, F.try_element_at(endings, extension(filename)))
 
 
 def meeting_type(filename: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.translate(F.lower(filename), "_", "-"), f"({'|'.join(MEETINGS)})", 1), F.lit(""))
+    """The first of MEETINGS, in their order, that the name has; null without any."""
+    name = F.lower(F.coalesce(filename, F.lit("")))
+    return F.coalesce(*[F.when(F.contains(name, F.lit(m)), m.replace("_", "-")) for m in MEETINGS])
 
 
 # The shapes of checkable facts: dates, amounts, percentages, quantities with units, versions, priorities, severities, ids, cloud regions, large counts.

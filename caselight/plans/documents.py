@@ -1,18 +1,13 @@
-"""Text, retrieval and verification queries."""
+"""Line filters, sentences, tokens and chunkers over the documents."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselight.catalog import query
 from caselight.operators import text as X
 from caselight.operators.nested import nodes, ticket_table
-from caselight.operators.ranking import recency_boost, top_per_group
-from caselight.operators.retrieval import bm25, dense_topk, lexical_rerank, reciprocal_rank_fusion
-from caselight.session import cut_lineage
 from caselight.tables import table
 
 _LINES = "list_transform(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(x))"
@@ -58,80 +53,6 @@ def split_long(spark: SparkSession, d: str) -> DataFrame:
     return X.exploded_chunks(table(spark, d, "tickets"), "ticket_row_id", "description", X.long_text_chunks)
 
 
-@query("q_ticket_chunks", """SELECT ticket_row_id, 'description' AS section, md5('Ticket ' || ticket_id || ' [' || coalesce(priority, 'normal') || ']: ' || coalesce(subject, '') || chr(10) || description) AS chunk FROM tickets WHERE length(trim(coalesce(description, ''))) > 0
-  UNION ALL SELECT ticket_row_id, 'resolution' AS section, md5('Ticket ' || ticket_id || ' [' || coalesce(priority, 'normal') || ']: ' || coalesce(subject, '') || chr(10) || resolution) AS chunk FROM tickets WHERE length(trim(coalesce(resolution, ''))) >= 15""")
-def ticket_chunks(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "tickets")
-    head = F.concat(F.lit("Ticket "), "ticket_id", F.lit(" ["), F.coalesce("priority", F.lit("normal")), F.lit("]: "), F.coalesce("subject", F.lit("")), F.lit("\n"))
-    part = lambda c, least: t.filter(F.length(F.trim(F.coalesce(c, F.lit("")))) >= least).select("ticket_row_id", F.lit(c).alias("section"), F.md5(F.concat(head, c)).alias("chunk"))
-    return part("description", 1).unionByName(part("resolution", 15))
-
-
-@query("q_commit_chunks", "SELECT commit_row_id, md5(concat_ws(chr(10), 'Commitment ' || commitment_id || ': ' || description, 'Promised: ' || promised_date, 'Target: ' || nullif(current_target_date, ''), 'Owner: ' || nullif(owner, ''))) AS chunk, left(last_updated, 10) AS doc_date FROM commitments")
-def commit_chunks(spark: SparkSession, d: str) -> DataFrame:
-    labelled = lambda label, c: F.concat(F.lit(f"{label}: "), F.nullif(c, F.lit("")))
-    first = F.concat(F.lit("Commitment "), "commitment_id", F.lit(": "), "description")
-    lines = F.concat_ws("\n", first, F.concat(F.lit("Promised: "), "promised_date"), labelled("Target", F.col("current_target_date")), labelled("Owner", F.col("owner")))
-    return table(spark, d, "commitments").select("commit_row_id", F.md5(lines).alias("chunk"), F.substring("last_updated", 1, 10).alias("doc_date"))
-
-
-@query("q_turns_plain")
-def turns_plain(spark: SparkSession, d: str) -> DataFrame:
-    """The turns of the documents that are plain transcripts, merged up to 120 words, with the speaker before."""
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b.doc_id, b.text, strict=True):
-                turns = X.merged_turns(X.plain_turns(text))
-                rows += [(doc_id, i, s, len(t.split()), turns[i - 1][0] if i else None) for i, (s, t) in enumerate(turns)]
-            yield pd.DataFrame(rows, columns=["doc_id", "turn_ix", "speaker", "n_words", "prior_speaker"])
-
-    docs = table(spark, d, "documents").filter("doc_type = 'transcript'").select("doc_id", "text")
-    return docs.mapInPandas(run, "doc_id long, turn_ix int, speaker string, n_words int, prior_speaker string")
-
-
-@query("q_merge_turns")
-def merge_turns(spark: SparkSession, d: str) -> DataFrame:
-    return turns_plain(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_turns"), F.count_distinct("speaker").alias("n_speakers"), F.sum("n_words").alias("n_words"))
-
-
-@query("q_detect_format")
-def detect_format(spark: SparkSession, d: str) -> DataFrame:
-    """Formats of the raw lines, by what their heads show."""
-    return table(spark, d, "turns").groupBy(X.transcript_format(F.col("text")).alias("format")).agg(F.count("*").alias("n_lines"), F.count_distinct("call_id").alias("n_calls"))
-
-
-@query("q_norm_cues")
-def norm_cues(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "turns").select("turn_row_id", X.cues_removed(F.col("text")).alias("text"))
-
-
-@query("q_otter", "SELECT c.call_id, u.s.spk_id AS spk_id, coalesce(nullif(trim(u.s.spk_name), ''), 'Speaker ' || u.s.spk_id) AS speaker FROM calls c, unnest(c.speakers) AS u(s)")
-def otter(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "calls").select("call_id", F.explode("speakers").alias("s"))
-    return s.select("call_id", "s.spk_id", F.coalesce(F.nullif(F.trim("s.spk_name"), F.lit("")), F.concat(F.lit("Speaker "), "s.spk_id")).alias("speaker"))
-
-
-_TYPE_SQL = "CASE " + " ".join(f"WHEN contains(lower(coalesce(filename, '')), '{k}') THEN '{v}'" for k, v in X.TYPE_KEYWORDS) + " END"
-
-
-@query("q_infer_doc_type", f"SELECT doc_id, {_TYPE_SQL} AS inferred, coalesce({_TYPE_SQL} = doc_type, false) AS agrees FROM documents")
-def infer_doc_type(spark: SparkSession, d: str) -> DataFrame:
-    kind = X.inferred_type(F.col("filename"))
-    return table(spark, d, "documents").select("doc_id", kind.alias("inferred"), F.coalesce(kind == F.col("doc_type"), F.lit(False)).alias("agrees"))
-
-
-@query("q_filename_date", r"SELECT doc_id, CASE WHEN regexp_matches(filename, '^\d{4}-\d{2}-\d{2}') THEN left(filename, 10) WHEN regexp_matches(filename, '^\d{4}-[Qq][1-4]') THEN left(filename, 4) || '-' || lpad(CAST(CAST(substr(filename, 7, 1) AS INTEGER) * 3 - 2 AS VARCHAR), 2, '0') || '-01' END AS file_date FROM documents")
-def filename_date(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.filename_date(F.col("filename")).alias("file_date"))
-
-
-@query("q_meeting_type", f"SELECT call_id, nullif(regexp_extract(replace(lower(filename), '_', '-'), '({'|'.join(X.MEETINGS)})', 1), '') AS meeting FROM calls")
-def meeting_type(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "calls").select("call_id", X.meeting_type(F.col("filename")).alias("meeting"))
-
-
 @query("q_slug", "SELECT customer_slug, regexp_full_match(customer_slug, '[a-z0-9-]+') AS valid FROM accounts")
 def slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "accounts").select("customer_slug", F.col("customer_slug").rlike(r"^[a-z0-9-]+$").alias("valid"))
@@ -151,134 +72,3 @@ def json_strings(spark: SparkSession, d: str) -> DataFrame:
 def word_cap(spark: SparkSession, d: str) -> DataFrame:
     w = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     return table(spark, d, "documents").select("doc_id", w.alias("w")).select("doc_id", F.md5(F.when(F.size("w") > 100, F.concat(F.array_join(F.slice("w", 1, 100), " "), F.lit("…"))).otherwise(F.array_join("w", " "))).alias("capped"))
-
-
-# The SQL is kept as it was and states the earlier nine patterns; the queries find the reference's ten, so their rows differ from it (see README).
-_SQL_FACTS = (
-    r"\b\d{4}-\d{2}-\d{2}\b",
-    r"[$€£]\s?\d[\d,.]*\d",
-    r"\b\d+(?:\.\d+)?\s?(?:%|percent\b)",
-    r"\b\d+(?:\.\d+)?\s?(?:ms|seconds|minutes|hours|days|weeks|months|users|seats|records|tickets|items)\b",
-    r"\bv?\d+\.\d+\.\d+\b",
-    r"\bp[0-4]\b",
-    r"\bsev[ -]?[0-4]\b",
-    r"\b[a-z]{2,6}-\d{2,7}\b",
-    r"\b\d{1,3}(?:,\d{3})+\b",
-)
-_FACTS_SQL = " || ".join(f"regexp_extract_all(lower(coalesce({{0}}, '')), '{p}')" for p in _SQL_FACTS)
-
-
-@query("q_extract_facts", "SELECT doc_id, array_to_string(list_sort(list_distinct(" + _FACTS_SQL.replace("{0}", "text") + ")), ';') AS facts FROM documents")
-def extract_facts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(X.facts(F.col("text")), ";").alias("facts"))
-
-
-@query("q_detect_hallucination", "SELECT item_id, array_to_string(list_sort(list_filter(list_distinct(" + _FACTS_SQL.replace("{0}", "reference_answer") + "), lambda f: NOT contains(lower(coalesce(question, '')), f))), ';') AS unsupported FROM eval_items")
-def detect_hallucination(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of an answer that the documents retrieved for its question don't hold; none where nothing is retrieved."""
-    context = q_rrf(spark, d).join(_corpus(spark, d), "doc_id").groupBy("query_id").agg(F.lower(F.array_join(F.collect_list("text"), " ")).alias("context"))
-    e = table(spark, d, "eval_items").join(context.withColumnRenamed("query_id", "item_id"), "item_id", "left")
-    found = F.filter(X.facts(F.col("reference_answer")), lambda f: ~F.contains("context", f))
-    return e.select("item_id", F.when(F.col("context").isNull(), "").otherwise(F.array_join(found, ";")).alias("unsupported"))
-
-
-@query("q_coverage", "SELECT item_id, round(CAST(len(list_filter(k, lambda f: contains(lower(reference_answer), lower(trim(f))))) AS DOUBLE) / len(k), 6) AS coverage FROM (SELECT item_id, reference_answer, string_split(key_facts, ';') AS k FROM eval_items)")
-def coverage(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "eval_items").withColumn("k", F.split("key_facts", ";"))
-    return e.select("item_id", F.round(F.size(F.filter("k", lambda f: F.contains(F.lower("reference_answer"), F.lower(F.trim(f))))) / F.size("k"), 6).alias("coverage"))
-
-
-@query("q_wants_recency", "SELECT ticket_row_id, regexp_matches(coalesce(subject, ''), '(?i)\\b(?:latest|most recent|recently|current|this month|last week|now)\\b') AS wants FROM tickets")
-def wants_recency(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tickets").select("ticket_row_id", F.coalesce("subject", F.lit("")).rlike(r"(?i)\b(?:latest|most recent|recently|current|this month|last week|now)\b").alias("wants"))
-
-
-@query("q_intent", "SELECT item_id, CASE WHEN c > t THEN 'commitment' WHEN t > c THEN 'ticket' ELSE 'semantic' END AS intent FROM (SELECT item_id, len(regexp_extract_all(lower(question), 'promis|commit|deadline|owe|due|deliver')) AS c, len(regexp_extract_all(lower(question), 'ticket|issue|bug|fail|error|patch')) AS t FROM eval_items)")
-def intent(spark: SparkSession, d: str) -> DataFrame:
-    q = F.lower("question")
-    c, t = F.regexp_count(q, F.lit("promis|commit|deadline|owe|due|deliver")), F.regexp_count(q, F.lit("ticket|issue|bug|fail|error|patch"))
-    return table(spark, d, "eval_items").select("item_id", F.when(c > t, "commitment").when(t > c, "ticket").otherwise("semantic").alias("intent"))
-
-
-def _questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
-
-
-def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
-
-
-_BM25_SQL = r"""t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
-  p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY doc_id, dl, term), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-  r AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM df, s), i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
-  q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS term FROM eval_items) GROUP BY query_id, term),
-  sc AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN q USING (term) JOIN i USING (term), s GROUP BY query_id, doc_id),
-  bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""
-
-
-@query("q_bm25")
-def q_bm25(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: scores are equal to an SQL form up to the order of a sum, which can swap documents that tie to the sixth digit; tests compare with brute force."""
-    return bm25(_corpus(spark, d), _questions(spark, d)).select("query_id", "doc_id", "score", "rank")
-
-
-@query("q_dense_topk", "WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.e, b.e), 6) AS score FROM q a, q b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 10")
-def q_dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set of a search: every row whose id is divisible by 50, against all rows."""
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return dense_topk(rows, rows.filter("id % 50 = 0").withColumnRenamed("id", "query_id"))
-
-
-def _dense(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, doc_id, score, rank by vectors. The tables hold no vectors of questions; as the survey has it, the row of ``embeddings`` with the question's id stands for it,
-    and vec_id is the doc_id."""
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    held = rows.join(_corpus(spark, d).select(F.col("doc_id").alias("id")), "id", "left_semi")
-    # Negative, because a search leaves out the row with the query's id, which here is another thing.
-    asked = rows.join(_questions(spark, d).select(F.col("query_id").alias("id")), "id", "left_semi").select((-F.col("id") - 1).alias("query_id"), "vector")
-    return dense_topk(held, asked).select((-F.col("query_id") - 1).alias("query_id"), F.col("id").alias("doc_id"), "score", "rank")
-
-
-def _fused(spark: SparkSession, d: str, k: int) -> DataFrame:
-    fused = reciprocal_rank_fusion([_dense(spark, d), bm25(_corpus(spark, d), _questions(spark, d))])
-    return top_per_group(fused, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
-
-
-@query("q_rrf")
-def q_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """The dense and the lexical ranking of each question, fused."""
-    return _fused(spark, d, 6)
-
-
-@query("q_rerank")
-def q_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return lexical_rerank(bm25(_corpus(spark, d), _questions(spark, d)), _corpus(spark, d), _questions(spark, d))
-
-
-# Fixed value: words that ask for what is recent.
-RECENT = r"(?i)\b(?:recent|latest|last (?:call|meeting|week|month|quarter|year)|yesterday|today|this (?:week|month|quarter|year)|current|new(?:est)?|since|most recent|just|lately)\b"
-
-
-@query("q_hybrid_full")
-def q_hybrid_full(spark: SparkSession, d: str) -> DataFrame:
-    """Dense and lexical lists fused whole, re-ranked, at most two documents of one customer, their parent chunks; the newer first where the question asks for what is recent."""
-    documents = table(spark, d, "documents")
-    reranked = lexical_rerank(_fused(spark, d, 20).select("query_id", "doc_id", "rank"), _corpus(spark, d), _questions(spark, d))
-    owners = documents.select("doc_id", "customer_slug", "doc_date")
-    capped = top_per_group(reranked.withColumnRenamed("rank", "place").join(owners, "doc_id"), ["query_id", "customer_slug"], [F.asc("place")], 2).select("query_id", "doc_id", "share", "place", "doc_date")
-    capped = cut_lineage(capped)
-    chunks = X.exploded_chunks(documents.join(capped.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text", lambda t: X.recursive_chunks(t, 2400, 200))
-    parents = capped.join(chunks, "doc_id", "left").withColumn("_place", F.row_number().over(W.partitionBy("query_id").orderBy("place", "chunk_index")) - 1)
-    boosted = recency_boost(parents, "query_id", "_place", "doc_date").join(_questions(spark, d).select("query_id", F.coalesce(F.col("text").rlike(RECENT), F.lit(False)).alias("_recent")), "query_id")
-    position = F.row_number().over(W.partitionBy("query_id").orderBy(F.when(F.col("_recent"), -F.col("score")).otherwise(0.0), "_place"))
-    parent_id = F.when(F.col("chunk_index").isNotNull(), F.concat_ws("_", F.lit("p"), "doc_id", "chunk_index"))
-    return boosted.select("query_id", "doc_id", parent_id.alias("parent_chunk_id"), "chunk", "share", "place", position.alias("position"))
-
-
-@query("q_ir_metrics")
-def q_ir_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Share of questions whose key facts a retrieved document holds, at 1 and 10, and the mean reciprocal rank."""
-    e = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.explode(F.split("key_facts", ";")).alias("fact"))
-    hits = q_bm25(spark, d).join(_corpus(spark, d), "doc_id").join(e, "query_id").filter(F.contains("text", F.col("fact"))).groupBy("query_id").agg(F.min("rank").alias("rank"))
-    every = _questions(spark, d).select("query_id").join(hits, "query_id", "left")
-    return every.agg(F.count("*").alias("n"), F.round(F.avg((F.coalesce("rank", F.lit(99)) <= 1).cast("double")), 6).alias("recall_1"), F.round(F.avg(F.col("rank").isNotNull().cast("double")), 6).alias("recall_10"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))

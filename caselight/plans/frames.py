@@ -15,6 +15,28 @@ TERMINAL_TICKETS = ("closed", "resolved", "done", "complete", "completed", "fixe
 TERMINAL_COMMITMENTS = ("delivered", "deferred", "closed", "resolved", "done", "complete", "completed", "cancelled", "canceled", "won't_do")
 
 
+# Raw statuses of tickets and of commitments with their canonical form.
+STATUS = {
+    "new": "open", "todo": "open", "backlog": "open", "wip": "in_progress", "in-progress": "in_progress", "in progress": "in_progress", "started": "in_progress", "working": "in_progress", "active": "in_progress", "investigating": "in_progress",
+    "done": "closed", "complete": "closed", "completed": "closed", "resolved": "closed", "fixed": "closed", "won't fix": "closed", "wontfix": "closed", "duplicate": "closed", "cancelled": "closed", "canceled": "closed", "rejected": "closed", "invalid": "closed",
+}
+COMMITMENT_STATUS = {
+    "wip": "in_progress", "in-progress": "in_progress", "in progress": "in_progress", "started": "in_progress", "working": "in_progress", "open": "active", "new": "active", "pending": "active", "on-hold": "deferred", "on_hold": "deferred", "blocked": "deferred", "hold": "deferred",
+    "done": "delivered", "complete": "delivered", "completed": "delivered", "closed": "delivered", "resolved": "delivered", "fixed": "delivered", "cancelled": "deferred", "canceled": "deferred", "won't_do": "deferred", "wontdo": "deferred",
+}
+# Days after which a document of a type is stale.
+STALE_DAYS = {"transcript": 30, "ticket": 30, "commitment_tracker": 14, "account_notes": 30, "qbr_deck": 90, "solution_architecture": 180}
+
+
+def mapped(c: Column, names: dict) -> Column:
+    """The value of ``c`` in ``names``, else ``c``."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), c), c)
+
+
+def case_sql(c: str, names: dict) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k.replace(chr(39), chr(39) * 2)}' THEN '{v}'" for k, v in names.items()) + f" ELSE {c} END"
+
+
 def quoted(values: tuple[str, ...]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -62,13 +84,14 @@ def commitments(spark: SparkSession, d: str) -> DataFrame:
     c = c.withColumn("target", target).withColumn("is_open", ~F.col("status").isin(*TERMINAL_COMMITMENTS))
     slipped = F.coalesce(F.col("is_slipped"), F.col("target") > F.col("promised_date"), F.lit(False))
     c = c.withColumns({"slipped": slipped, "overdue": F.coalesce(F.col("is_open") & (F.col("target") < AS_OF), F.lit(False))})
-    return c.select("commit_row_id", "commitment_id", F.col("customer_slug").alias("user_id"), "description", "promised_date", "target", "status", "owner", "source_doc", "last_updated", "is_open", "slipped", "overdue")
+    return c.select("commit_row_id", "commitment_id", F.col("customer_slug").alias("user_id"), "description", "promised_date", "target", "status", "owner", "source_doc", "last_updated", "is_open", "slipped", "overdue", F.coalesce("customer_aware", F.lit(False)).alias("customer_aware"))
 
 
 COMMITMENTS = rf"""com AS (SELECT *, coalesce(is_open AND target < '{AS_OF}', false) AS overdue FROM (SELECT commit_row_id, commitment_id, user_id, description, promised_date, target, status, owner, source_doc, last_updated,
-  status NOT IN ({quoted(TERMINAL_COMMITMENTS)}) AS is_open, coalesce(is_slipped, target > promised_date, false) AS slipped FROM (
-  SELECT *, customer_slug AS user_id, lower(trim(coalesce(status, ''))) AS status, CASE WHEN regexp_matches(current_target_date, '{_ISO}') THEN current_target_date ELSE promised_date END AS target
-  FROM (SELECT * EXCLUDE (status), status AS status FROM commitments QUALIFY row_number() OVER (PARTITION BY commitment_id ORDER BY loaded_at DESC, commit_row_id DESC) = 1) AS raw) AS typed))""".replace("SELECT *, customer_slug AS user_id, lower", "SELECT * EXCLUDE (status), customer_slug AS user_id, lower")
+  status NOT IN ({quoted(TERMINAL_COMMITMENTS)}) AS is_open, coalesce(is_slipped, target > promised_date, false) AS slipped, coalesce(customer_aware, false) AS customer_aware FROM (
+  SELECT commit_row_id, commitment_id, customer_slug AS user_id, description, promised_date, CASE WHEN regexp_matches(current_target_date, '{_ISO}') THEN current_target_date ELSE promised_date END AS target,
+  lower(trim(coalesce(status, ''))) AS status, owner, source_doc, last_updated, is_slipped, customer_aware
+  FROM commitments QUALIFY row_number() OVER (PARTITION BY commitment_id ORDER BY loaded_at DESC, commit_row_id DESC) = 1) AS typed))"""
 
 
 def logs(spark: SparkSession, d: str) -> DataFrame:

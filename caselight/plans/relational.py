@@ -82,13 +82,6 @@ def missing_doc_types(spark: SparkSession, d: str) -> DataFrame:
     return wanted.join(table(spark, d, "documents").select("customer_slug", "doc_type").distinct(), ["customer_slug", "doc_type"], "left_anti")
 
 
-@query("q_corpus_health", f"""SELECT customer_slug, doc_type, count(*) AS n, coalesce(max(doc_date), '{AS_OF}') AS last_date,
-  CASE WHEN datediff('day', CAST(coalesce(max(doc_date), '{AS_OF}') AS DATE), DATE '{AS_OF}') > 30 THEN 'stale' ELSE 'current' END AS state FROM documents WHERE doc_type IS NOT NULL GROUP BY customer_slug, doc_type""")
-def corpus_health(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "documents").filter("doc_type IS NOT NULL").groupBy("customer_slug", "doc_type").agg(F.count("*").alias("n"), F.coalesce(F.max("doc_date"), F.lit(AS_OF)).alias("last_date"))
-    return g.withColumn("state", F.when(F.datediff(F.lit(AS_OF).cast("date"), F.try_to_date("last_date", "yyyy-MM-dd")) > 30, "stale").otherwise("current"))
-
-
 @query("q_health_metrics", f"""WITH {TICKETS}, {COMMITMENTS}, t AS (SELECT user_id, count(*) FILTER (WHERE is_open AND priority IN ('p0', 'critical', 'urgent', 'blocker')) AS p0, count(*) FILTER (WHERE is_open AND priority IN ('p1', 'high')) AS p1 FROM tkt GROUP BY user_id),
   c AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE slipped) AS slipped, count(*) FILTER (WHERE overdue) AS overdue FROM com GROUP BY user_id)
   SELECT a.customer_slug AS user_id, coalesce(p0, 0) AS p0, coalesce(p1, 0) AS p1, coalesce(overdue, 0) AS overdue, round(coalesce(slipped / n, 0.0), 6) AS slip_rate FROM accounts a LEFT JOIN t ON t.user_id = a.customer_slug LEFT JOIN c ON c.user_id = a.customer_slug""")
@@ -161,15 +154,6 @@ def boosted(spark: SparkSession, d: str) -> DataFrame:
     return recency_boost(ranked, "user_id", "i", "doc_date").select("user_id", "file_id", "score")
 
 
-@query("q_prior_turn", "WITH p AS (SELECT call_id, line_no + 1 AS line_no, arg_min(coalesce(speaker, ''), turn_row_id) AS prior_speaker, arg_min(left(coalesce(text, ''), 100), turn_row_id) AS prior_text FROM turns GROUP BY call_id, line_no) SELECT t.turn_row_id, p.prior_speaker, p.prior_text FROM turns t LEFT JOIN p ON p.call_id = t.call_id AND p.line_no = t.line_no")
-def prior_turn(spark: SparkSession, d: str) -> DataFrame:
-    """The line before by its number, its first delivery. An equi-join on call and line number, so a call of any length spreads over all tasks."""
-    t = table(spark, d, "turns")
-    first = lambda c: F.min_by(c, "turn_row_id")
-    before = t.groupBy("call_id", (F.col("line_no") + 1).alias("line_no")).agg(first(F.coalesce("speaker", F.lit(""))).alias("prior_speaker"), first(F.substring(F.coalesce("text", F.lit("")), 1, 100)).alias("prior_text"))
-    return t.select("turn_row_id", "call_id", "line_no").join(before, ["call_id", "line_no"], "left").select("turn_row_id", "prior_speaker", "prior_text")
-
-
 @query("q_dedupe_titles", f"WITH {TICKETS} SELECT user_id, min(ticket_row_id) AS ticket_row_id FROM tkt WHERE trim(coalesce(subject, '')) <> '' GROUP BY user_id, lower(trim(subject)) UNION ALL SELECT user_id, ticket_row_id FROM tkt WHERE trim(coalesce(subject, '')) = ''")
 def dedupe_titles(spark: SparkSession, d: str) -> DataFrame:
     t = tickets(spark, d).withColumn("title", F.lower(F.trim(F.coalesce("subject", F.lit("")))))

@@ -2,55 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselight.catalog import query
 from caselight.operators.ranking import top_per_group
-from caselight.plans.frames import AS_OF, CHUNKS, COMMITMENTS, TICKETS, chunks, commitments, tickets
+from caselight.plans.frames import AS_OF, CHUNKS, COMMITMENTS, STALE_DAYS, TICKETS, chunks, commitments, tickets
 from caselight.session import cut_lineage
 from caselight.tables import table
 
-# Raw ticket statuses with their canonical form.
-STATUS = {
-    "new": "open", "todo": "open", "backlog": "open", "wip": "in_progress", "in-progress": "in_progress", "in progress": "in_progress", "started": "in_progress", "working": "in_progress", "active": "in_progress", "investigating": "in_progress",
-    "done": "closed", "complete": "closed", "completed": "closed", "resolved": "closed", "fixed": "closed", "won't fix": "closed", "wontfix": "closed", "duplicate": "closed", "cancelled": "closed", "canceled": "closed", "rejected": "closed", "invalid": "closed",
-}
-_STATUS_SQL = "CASE lower(trim(status)) " + " ".join(f"WHEN '{k.replace(chr(39), chr(39) * 2)}' THEN '{v}'" for k, v in STATUS.items()) + " ELSE lower(trim(status)) END"
-
-
-@query("q_status_norm", f"SELECT ticket_row_id, {_STATUS_SQL} AS status FROM tickets")
-def status_norm(spark: SparkSession, d: str) -> DataFrame:
-    names = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])
-    s = F.lower(F.trim("status"))
-    return table(spark, d, "tickets").select("ticket_row_id", F.coalesce(F.try_element_at(names, s), s).alias("status"))
-
-
-@query("q_slipped", r"SELECT commit_row_id, coalesce(is_slipped, CASE WHEN regexp_matches(current_target_date, '^\d{4}-\d{2}-\d{2}$') THEN current_target_date > promised_date END, false) AS slipped FROM commitments")
-def slipped(spark: SparkSession, d: str) -> DataFrame:
-    later = F.when(F.col("current_target_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("current_target_date") > F.col("promised_date"))
-    return table(spark, d, "commitments").select("commit_row_id", F.coalesce("is_slipped", later, F.lit(False)).alias("slipped"))
-
-
-@query("q_doc_metadata", "SELECT doc_id, ends_with(lower(filename), '.json') OR ends_with(lower(filename), '.csv') AS is_structured, nullif(regexp_extract(lower(filename), '\\.([a-z0-9]+)$', 1), '') AS extension, coalesce(nullif(doc_date, ''), strftime(upload_timestamp, '%Y-%m-%d')) AS data_date FROM documents")
-def doc_metadata(spark: SparkSession, d: str) -> DataFrame:
-    name = F.lower("filename")
-    return table(spark, d, "documents").select(
-        "doc_id", (name.endswith(".json") | name.endswith(".csv")).alias("is_structured"), F.nullif(F.regexp_extract(name, r"\.([a-z0-9]+)$", 1), F.lit("")).alias("extension"),
-        F.coalesce(F.nullif("doc_date", F.lit("")), F.date_format("upload_timestamp", "yyyy-MM-dd")).alias("data_date"),
-    )
+_STALE_SQL = "CASE doc_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in STALE_DAYS.items()) + " ELSE 30 END"
 
 
-# Days after which a document of a type is stale.
-STALE_DAYS = {"transcript": 30, "account_notes": 30, "ticket": 14, "commitment_tracker": 30, "qbr_deck": 90, "solution_architecture": 180}
-_STALE_SQL = "CASE doc_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in STALE_DAYS.items()) + " ELSE 30 END"
+def is_stale(day: Column, kind: Column | None = None, as_of: str = AS_OF) -> Column:
+    """Whether ``day`` lies more days before ``as_of`` than its type allows (30 where no type is given); false for no date."""
+    limit = F.lit(30) if kind is None else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STALE_DAYS.items() for x in kv]), kind), F.lit(30))
+    return F.coalesce(F.datediff(F.lit(as_of).cast("date"), F.try_to_date(F.substring(day, 1, 10), "yyyy-MM-dd")) > limit, F.lit(False))
 
 
-@query("q_stale", f"SELECT doc_id, coalesce(datediff('day', try_cast(doc_date AS DATE), DATE '{AS_OF}') > {_STALE_SQL}, false) AS stale FROM documents")
+@query("q_stale", f"SELECT doc_id, coalesce(datediff('day', try_cast(left(doc_date, 10) AS DATE), DATE '{AS_OF}') > {_STALE_SQL}, false) AS stale, coalesce(datediff('day', try_cast(left(doc_date, 10) AS DATE), DATE '{AS_OF}') > 30, false) AS stale_any FROM documents")
 def stale(spark: SparkSession, d: str) -> DataFrame:
-    limits = F.create_map(*[F.lit(x) for kv in STALE_DAYS.items() for x in kv])
-    age = F.datediff(F.lit(AS_OF).cast("date"), F.try_to_date("doc_date", "yyyy-MM-dd"))
-    return table(spark, d, "documents").select("doc_id", F.coalesce(age > F.coalesce(F.try_element_at(limits, F.col("doc_type")), F.lit(30)), F.lit(False)).alias("stale"))
+    return table(spark, d, "documents").select("doc_id", is_stale(F.col("doc_date"), F.col("doc_type")).alias("stale"), is_stale(F.col("doc_date")).alias("stale_any"))
 
 
 _ITEMS_SQL = f"""items AS (SELECT user_id, 0 AS src, commit_row_id AS ix, commitment_id AS id, CASE WHEN overdue THEN 0 ELSE 1 END AS prio FROM com WHERE is_open AND (overdue OR slipped)
@@ -101,10 +73,3 @@ def fetch_parents(spark: SparkSession, d: str) -> DataFrame:
     """Each child with its parent; the parents are reduced to one row per id before the join, so a hot parent isn't multiplied."""
     parents = table(spark, d, "tickets").groupBy("ticket_id").agg(F.min("ticket_row_id").alias("ticket_row_id"), F.count_distinct("ticket_row_id").alias("deliveries"))
     return table(spark, d, "ticket_comments").join(parents, "ticket_id").select("comment_row_id", "ticket_row_id", "deliveries")
-
-
-@query("q_required_cols", "SELECT DISTINCT source_system, json_valid(coalesce(payload, '')) AS readable, count(*) OVER (PARTITION BY source_system, json_valid(coalesce(payload, ''))) AS n FROM raw_tickets")
-def required_cols(spark: SparkSession, d: str) -> DataFrame:
-    """Payloads by system and by whether they are JSON as they stand."""
-    readable = F.coalesce(F.try_parse_json("payload").isNotNull(), F.lit(False))
-    return table(spark, d, "raw_tickets").groupBy("source_system", readable.alias("readable")).agg(F.count("*").alias("n"))

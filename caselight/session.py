@@ -26,18 +26,20 @@ def get_session(cores: int | str = 8, app: str = "caselight") -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with ``checkpoint()`` in the shared folder of ``spark.checkpoint.dir``.
-
-    The folder is read from the session. Only where it is unset, and then only on a local master (tests), a temporary one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: that of ``spark.checkpoint.dir``. Only where it is unset, and then only on a local master (tests), a temporary one is made."""
     sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="caselight-checkpoint-")
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="caselight-checkpoint-")
         sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with ``checkpoint()`` in the shared folder, which is read from the session."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -1,37 +1,87 @@
-"""Reading raw files into rows: ticket and commitment sheets, JSON lines, transcripts and pages. Columns are found through alias maps."""
+"""Reading raw files into rows: ticket and commitment sheets, trackers, JSON lines, logs, transcripts, pages and word files; and writing. Columns are found through alias maps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import uuid
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# The canonical columns with the headings under which they come.
-TICKET_ALIASES = {"ticket_id": ("ticket_id", "id", "key", "issue key"), "summary": ("summary", "subject", "title"), "status": ("status", "state"), "priority": ("priority", "severity"), "created_date": ("created_date", "created", "created_at"), "updated_date": ("updated_date", "updated", "updated_at"), "reporter": ("reporter",), "assignee": ("assignee", "owner"), "description": ("description", "details"), "resolution": ("resolution",)}
-COMMITMENT_ALIASES = {"commitment": ("commitment", "description"), "promised_date": ("promised_date", "promised"), "current_target_date": ("current_target_date", "target", "target date"), "status": ("status",), "owner": ("owner",), "customer_aware": ("customer_aware",), "commitment_id": ("commitment_id", "id")}
+from caselight.operators.fields import COMMITMENT_DATES, TICKET_DATES, normal_date, parsed_bool
+from caselight.operators.text import html_sections, recursive_chunks
+from caselight.plans.frames import COMMITMENT_STATUS, TERMINAL_COMMITMENTS, mapped
+from caselight.session import shared_folder
+
+# Other headings of the columns of a ticket sheet and of a commitment tracker.
+TICKET_ALIASES = {
+    "id": "ticket_id", "key": "ticket_id", "issue_key": "ticket_id", "issue_id": "ticket_id", "ticket": "ticket_id", "title": "summary", "subject": "summary", "name": "summary", "state": "status", "issue_state": "status",
+    "created": "created_date", "create_date": "created_date", "creation_date": "created_date", "date_created": "created_date", "updated": "updated_date", "update_date": "updated_date", "last_updated": "updated_date", "date_updated": "updated_date",
+    "desc": "description", "body": "description", "issue_description": "description", "resolve": "resolution", "resolution_notes": "resolution", "fix_notes": "resolution",
+}
+COMMITMENT_ALIASES = {
+    "description": "commitment", "promise": "commitment", "item": "commitment", "task": "commitment", "id": "commitment_id", "due_date": "promised_date", "original_due": "promised_date", "commit_date": "promised_date",
+    "target": "current_target_date", "target_date": "current_target_date", "current_due": "current_target_date", "revised_date": "current_target_date", "updated_due": "current_target_date", "created_date": "last_updated",
+    "responsible": "owner", "assignee": "owner", "team": "owner", "customer_visible": "customer_aware", "visible": "customer_aware", "external": "customer_aware",
+}
+TICKET_COLUMNS = ("ticket_id", "summary", "status", "priority", "created_date", "updated_date", "reporter", "assignee", "description", "resolution")
+COMMITMENT_COLUMNS = ("commitment", "status", "promised_date", "current_target_date", "owner", "customer_aware", "commitment_id", "source_doc", "source_section", "last_updated", "is_slipped")
 
 
-def renamed(df: DataFrame, aliases: dict[str, tuple[str, ...]], required: tuple[str, ...]) -> DataFrame:
-    """``df`` under canonical names, the first heading that matches winning; other columns go, absent ones are null, and a missing required one is an error."""
-    by_name: dict[str, str] = {}
+def renamed(df: DataFrame, aliases: dict[str, str], columns: tuple[str, ...], required: tuple[str, ...], last_wins: bool = False) -> DataFrame:
+    """``df`` under canonical names as trimmed strings. Of two headings for one column the first counts, or with ``last_wins`` the last; other columns go, absent ones are null, and a missing required one is an error."""
+    found: dict[str, str] = {}
     for c in df.columns:
-        by_name.setdefault(c.strip().lower(), c)
-    found = {k: next((by_name[a] for a in names if a in by_name), None) for k, names in aliases.items()}
-    if missing := [k for k in required if found[k] is None]:
+        plain = c.strip().lower().replace(" ", "_")
+        name = aliases.get(plain, plain)
+        if last_wins or name not in found:
+            found[name] = c
+    if missing := [k for k in required if k not in found]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*[(F.col(f"`{v}`") if v else F.lit(None)).cast("string").alias(k) for k, v in found.items()])
+    return df.select(*[(F.nullif(F.trim(F.col(f"`{found[k]}`").cast("string")), F.lit("")) if k in found else F.lit(None).cast("string")).alias(k) for k in columns], *[c for c in df.columns if c.startswith("_")])
+
+
+def _sheet(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
 def ticket_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """Tickets of a CSV sheet; rows without id are skipped, status is lower case or ``open``, priority ``normal`` where there is none."""
-    t = renamed(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path), TICKET_ALIASES, ("ticket_id", "summary", "status"))
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return t.filter(blank("ticket_id").isNotNull()).withColumns({"status": F.coalesce(F.lower(blank("status")), F.lit("open")), "priority": F.coalesce(blank("priority"), F.lit("normal"))})
+    """Tickets of a CSV sheet; rows without id are skipped, status is lower case or ``open``, priority ``normal`` where there is none, dates are ``YYYY-MM-DD`` or null."""
+    t = renamed(_sheet(spark, path), TICKET_ALIASES, TICKET_COLUMNS, ("ticket_id", "summary", "status")).filter("ticket_id IS NOT NULL")
+    return t.withColumns({"status": F.coalesce(F.lower("status"), F.lit("open")), "priority": F.coalesce("priority", F.lit("normal")), **{c: normal_date(F.col(c), TICKET_DATES) for c in ("created_date", "updated_date")}})
 
 
 def commitment_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """Commitments of a CSV sheet; blank ones are skipped and the target is the promised date where there is none."""
-    c = renamed(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path), COMMITMENT_ALIASES, ("commitment", "status"))
-    return c.filter(F.trim("commitment") != "").withColumn("current_target_date", F.coalesce(F.nullif("current_target_date", F.lit("")), "promised_date"))
+    """Commitments of a CSV sheet; blank ones are skipped, the target is the promised date where there is none, and a row without id is called C and its number in the file, skipped rows counted."""
+    raw = _sheet(spark, path).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place"))
+    # A sheet is read by one task, in order, so the number costs a sort within the file.
+    c = renamed(raw, COMMITMENT_ALIASES, COMMITMENT_COLUMNS, ("commitment", "status"), last_wins=True).withColumn("_n", F.row_number().over(W.partitionBy("_file").orderBy("_place")).cast("string")).filter("commitment IS NOT NULL")
+    c = c.withColumns({"promised_date": normal_date(F.col("promised_date"), COMMITMENT_DATES), "status": mapped(F.coalesce(F.lower("status"), F.lit("open")), COMMITMENT_STATUS), "customer_aware": parsed_bool(F.col("customer_aware"), sheet=True)})
+    c = c.withColumn("current_target_date", F.coalesce(normal_date(F.col("current_target_date"), COMMITMENT_DATES), "promised_date"))
+    own = F.concat(F.lit("C"), F.lpad("_n", F.greatest(F.lit(3), F.length("_n")), F.lit("0")))
+    return c.withColumns({"commitment_id": F.coalesce("commitment_id", own), "is_slipped": F.coalesce(F.col("current_target_date") > F.col("promised_date"), F.lit(False)), "is_open": ~F.col("status").isin(*TERMINAL_COMMITMENTS)}).drop("_file", "_place", "_n")
+
+
+def commitment_rows_of_json(files: DataFrame, payload: str) -> DataFrame:
+    """The commitments of tracker files (a list, or one under ``commitments``), keys found through the aliases; null and missing texts are empty, a missing status is active. What is no object is dropped; unreadable files give no row."""
+    listed = F.from_json(payload, "array<map<string,string>>")
+    wrapped = F.from_json(payload, "struct<commitments:array<map<string,string>>>")["commitments"]
+    items = files.select(F.explode(F.when(F.ltrim(F.col(payload)).startswith("["), listed).otherwise(wrapped)).alias("m")).filter("m IS NOT NULL")
+    low = items.select(F.map_from_entries(F.transform(F.map_entries("m"), lambda e: F.struct(F.lower(F.trim(e["key"])), e["value"]))).alias("m"))
+    of = lambda name: F.coalesce(F.try_element_at("m", F.lit(name)), *[F.try_element_at("m", F.lit(a)) for a, n in COMMITMENT_ALIASES.items() if n == name])
+    text = lambda name: F.coalesce(of(name), F.lit(""))
+    promised, target = text("promised_date"), text("current_target_date")
+    status = mapped(F.lower(F.trim(F.coalesce(of("status"), F.lit("active")))), COMMITMENT_STATUS)
+    later = (target != "") & (promised != "") & (target > promised)
+    return low.select(
+        text("commitment_id").alias("commitment_id"), text("commitment").alias("description"), promised.alias("promised_date"), target.alias("current_target_date"), status.alias("status"), text("owner").alias("owner"), text("last_updated").alias("last_updated"),
+        parsed_bool(of("customer_aware")).alias("customer_aware"), F.when(of("is_slipped").isNotNull(), parsed_bool(of("is_slipped"))).otherwise(later).alias("is_slipped"), (~status.isin(*TERMINAL_COMMITMENTS)).alias("is_open"),
+    )
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -39,11 +89,101 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def log_tail(logs: DataFrame, tenant: str, level: str | None = None, limit: int = 100) -> DataFrame:
+    """The newest entries of a log (user_id, level, created_at, event_id and others), newest first: those of one tenant, or, for ``default``, also those without one; ``limit`` is held between 1 and 500."""
+    own = F.col("user_id") == tenant
+    kept = logs.filter(F.coalesce(own, F.lit(False)) | (F.lit(tenant == "default") & F.col("user_id").isNull()))
+    if level:
+        kept = kept.filter(F.col("level") == level.upper())
+    return kept.orderBy(F.desc("created_at"), F.desc("event_id")).limit(max(1, min(limit, 500)))
+
+
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text: one row per file (transcripts, pages, notes)."""
     return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def html_parts(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """``key``, section, h1, h2, h3, text of pages: the texts under each heading, without scripts and styles. One pass without a shuffle."""
+    dtype = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, i, *part) for k, page in zip(b[key], b[html], strict=True) for i, part in enumerate(html_sections(page))]
+            yield pd.DataFrame(rows, columns=[key, "section", "h1", "h2", "h3", "text"])
+
+    return pages.select(key, html).mapInPandas(run, f"`{key}` {dtype}, section int, h1 string, h2 string, h3 string, text string")
+
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_blocks(content: bytes) -> list[tuple[str, str]]:
+    """(heading, text) of a word file: paragraphs under their heading, tables as rows of distinct cells joined by bars; [] for what is no word file."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return []
+    text = lambda node: "".join(t.text or "" for t in node.iter(f"{_W}t")).strip()
+    blocks: list[tuple[str, list[str]]] = [("", [])]
+    for node in body if body is not None else []:
+        if node.tag == f"{_W}p":
+            style = node.find(f"{_W}pPr/{_W}pStyle")
+            if style is not None and style.get(f"{_W}val", "").startswith("Heading"):
+                blocks.append((text(node), []))
+            elif text(node):
+                blocks[-1][1].append(text(node))
+        elif node.tag == f"{_W}tbl":
+            rows = [" | ".join(dict.fromkeys(c for c in map(text, row.iter(f"{_W}tc")) if c)) for row in node.iter(f"{_W}tr")]
+            if any(rows):
+                blocks[-1][1].append("\n".join([f"{blocks[-1][0]} [table]".strip(), *[r for r in rows if r]]))
+    return [(h, "\n".join([h, *parts]).strip()) for h, parts in blocks if parts]
+
+
+def word_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, chunk_index, heading, chunk of word files, in pieces of at most 1 000 characters."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, h, piece) for p, c in zip(b.path, b.content, strict=True) for h, t in docx_blocks(c) for piece in recursive_chunks(t, 1000, 200)]
+            out = pd.DataFrame(rows, columns=["path", "heading", "chunk"])
+            out["chunk_index"] = out.groupby("path").cumcount()
+            yield out[["path", "chunk_index", "heading", "chunk"]]
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, chunk_index int, heading string, chunk string")
+
+
+def shared_csv(df: DataFrame) -> str:
+    """Writes ``df`` as a CSV sheet into a new folder of the shared one and gives its path."""
+    path = f"{shared_folder(df.sparkSession)}/sheet-{uuid.uuid4().hex}"
+    df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
 def write_by_tenant(df: DataFrame, path: str, tenant: str = "user_id") -> None:
     """Append ``df`` partitioned by tenant, so that a read of one tenant scans its folder alone."""
     df.write.mode("append").partitionBy(tenant).parquet(path)
+
+
+def append_rows(df: DataFrame, path: str, key: list[str], rule: Column | None = None) -> int:
+    """Append the rows of ``df`` whose ``key`` isn't in the table at ``path`` yet and that keep ``rule``; gives their number. A row that breaks the rule is an error, before anything is written."""
+    spark = df.sparkSession
+    if rule is not None and not df.filter(~F.coalesce(rule, F.lit(False))).isEmpty():
+        raise ValueError("a row breaks the table's rule")
+    new = df.dropDuplicates(key)
+    try:
+        new = new.join(spark.read.parquet(path), key, "left_anti")
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    from caselight.session import cut_lineage
+
+    new = cut_lineage(new)
+    new.write.mode("append").parquet(path)
+    return new.count()
+
+
+def write_metrics(df: DataFrame, path: str) -> None:
+    """Write a small frame of metrics as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").json(path)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselight.session import shared_folder
+
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
@@ -33,8 +34,7 @@ def daily_digest(events: DataFrame) -> DataFrame:
 def drained(stream: DataFrame) -> DataFrame:
     """The complete result of ``stream`` over the input there is now, as a batch frame. State and result go to the shared folder of ``spark.checkpoint.dir``."""
     spark = stream.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="caselight-stream-")
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     run = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{base}/out")).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{base}/out")

@@ -57,14 +57,14 @@ def tables(spark, tmp_path_factory):
 
 
 def test_fusion_has_a_dense_side(spark, tables):
-    from caselight.plans.documents import q_rrf
+    from caselight.plans.retrieval import q_rrf
 
     got = {r.doc_id for r in q_rrf(spark, tables).filter("query_id = 1").collect()}
     assert {1, 10} <= got  # 10 shares no word with the question; 1 has its id
 
 
 def test_hybrid_gives_parents_and_the_recent_first(spark, tables):
-    from caselight.plans.documents import q_hybrid_full
+    from caselight.plans.retrieval import q_hybrid_full
 
     got = q_hybrid_full(spark, tables).orderBy("query_id", "position").collect()
     assert {r.parent_chunk_id for r in got if r.doc_id == 1} >= {"p_1_0", "p_1_1"}

@@ -72,7 +72,7 @@ def test_person_tiers(spark, tmp_path):
 
 
 def test_hallucination_asks_the_documents(spark, tmp_path):
-    from caselight.plans.documents import detect_hallucination
+    from caselight.plans.retrieval import detect_hallucination
 
     d = str(tmp_path)
     spark.createDataFrame([(1, "The relay costs $5.", "c", "2025-01-01"), (2, "other", "c", None)], "doc_id long, text string, customer_slug string, doc_date string").write.parquet(f"{d}/documents.parquet")
