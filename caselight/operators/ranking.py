@@ -51,3 +51,31 @@ def previous_in_blocks(df: DataFrame, group: str, block: Column, order: list[str
     w = W.partitionBy(group, "_block").orderBy(*order)
     inside = blocked.withColumn("_in", F.lag(F.struct(F.col(value).alias("v"))).over(w))
     return inside.join(carried, [group, "_block"]).withColumn(name, F.coalesce("_in", "_carry")["v"]).drop("_block", "_in", "_carry")
+
+
+def cumulated(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``group``, ``value``, upto (rows of the group with at most this value), n (all of them): one row per distinct value that isn't null.
+
+    Values are counted before the shuffle and ranked by running sums in two steps, over blocks of values and within them, so no group is collected or sorted by one task alone."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c")).withColumn("_block", F.floor(F.col(value)))
+    blocks = counted.groupBy(group, "_block").agg(F.sum("_c").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    offsets = blocks.select(group, "_block", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(group)).alias("n"))
+    inside = F.sum("_c").over(W.partitionBy(group, "_block").orderBy(value))
+    return counted.withColumn("_in", inside).join(offsets, [group, "_block"]).select(group, value, (F.col("_before") + F.col("_in")).alias("upto"), "n")
+
+
+def nearest_ranks(df: DataFrame, group: str, value: str, percents: dict[int, float]) -> DataFrame:
+    """``group``, n and ``p{k}`` for each of ``percents``: the value of rank ``int(n p)`` from 0, at most the last."""
+    up = cumulated(df, group, value)
+    at = {k: F.least(F.floor(F.col("n") * p), F.col("n") - 1) for k, p in percents.items()}
+    return up.groupBy(group).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("upto") > at[k], F.col(value))).alias(f"p{k}") for k in percents])
+
+
+def numbered_in_blocks(df: DataFrame, group: str, blocks: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: the place of each row in its group from 1, by ``blocks`` and then ``order`` (total within a block). Only a summary of one row per block is sorted per group."""
+    counts = df.groupBy(group, *blocks).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(group).orderBy(*blocks).rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(group, *blocks, F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(group, *blocks).orderBy(*order))
+    return df.withColumn("_in", inside).join(offsets, [group, *blocks]).withColumn(name, F.col("_before") + F.col("_in")).drop("_in", "_before")

@@ -1,4 +1,4 @@
-"""Sections composed of the domain frames, and normalisations of typed fields."""
+"""Staleness, mentions of people, and parents of chunks."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselight.catalog import query
-from caselight.operators.ranking import top_per_group
-from caselight.plans.frames import AS_OF, CHUNKS, COMMITMENTS, STALE_DAYS, TICKETS, chunks, commitments, tickets
-from caselight.session import cut_lineage
+from caselight.operators.people import person_tiers
+from caselight.plans.frames import AS_OF, STALE_DAYS
 from caselight.tables import table
 
 _STALE_SQL = "CASE doc_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in STALE_DAYS.items()) + " ELSE 30 END"
@@ -25,51 +24,31 @@ def stale(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", is_stale(F.col("doc_date"), F.col("doc_type")).alias("stale"), is_stale(F.col("doc_date")).alias("stale_any"))
 
 
-_ITEMS_SQL = f"""items AS (SELECT user_id, 0 AS src, commit_row_id AS ix, commitment_id AS id, CASE WHEN overdue THEN 0 ELSE 1 END AS prio FROM com WHERE is_open AND (overdue OR slipped)
-  UNION ALL SELECT user_id, 1 AS src, ticket_row_id AS ix, ticket_id AS id, CASE priority WHEN 'p0' THEN 0 WHEN 'p1' THEN 1 WHEN 'p2' THEN 2 ELSE 3 END AS prio FROM tkt WHERE is_open)"""
+def _says_sql(c: str) -> str:
+    return r"regexp_matches(low, '(^|[^\p{L}\p{N}_])' || regexp_escape(" + c + r") || '([^\p{L}\p{N}_]|$)')"
 
 
-@query("q_open_items", f"WITH {TICKETS}, {COMMITMENTS}, {_ITEMS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prio, src, ix) AS rank FROM items) SELECT user_id, id, prio, rank FROM r WHERE rank <= 10")
-def open_items(spark: SparkSession, d: str) -> DataFrame:
-    c = commitments(spark, d).filter("is_open AND (overdue OR slipped)").select("user_id", F.lit(0).alias("src"), F.col("commit_row_id").alias("ix"), F.col("commitment_id").alias("id"), F.when(F.col("overdue"), 0).otherwise(1).alias("prio"))
-    prio = F.when(F.col("priority") == "p0", 0).when(F.col("priority") == "p1", 1).when(F.col("priority") == "p2", 2).otherwise(3)
-    t = tickets(spark, d).filter("is_open").select("user_id", F.lit(1).alias("src"), F.col("ticket_row_id").alias("ix"), F.col("ticket_id").alias("id"), prio.alias("prio"))
-    return top_per_group(c.unionByName(t), ["user_id"], [F.asc("prio"), F.asc("src"), F.asc("ix")], 10).select("user_id", "id", "prio", "rank")
-
-
-@query("q_recent_changes", f"WITH {CHUNKS}, n AS (SELECT user_id, filename, max(doc_date) AS changed FROM chunks WHERE is_latest_version = 1 AND doc_type NOT IN ('ticket', 'commitment_tracker') AND doc_date >= '2025-06-16' GROUP BY user_id, filename), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY changed DESC, filename) AS rank FROM n) SELECT user_id, filename, changed, rank FROM r WHERE rank <= 6")
-def recent_changes(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).filter((F.col("is_latest_version") == 1) & ~F.col("doc_type").isin("ticket", "commitment_tracker") & (F.col("doc_date") >= "2025-06-16"))
-    by_file = c.groupBy("user_id", "filename").agg(F.max("doc_date").alias("changed"))
-    return top_per_group(by_file, ["user_id"], [F.desc("changed"), F.asc("filename")], 6).select("user_id", "filename", "changed", "rank")
-
-
-@query("q_overdue_digest", f"WITH {COMMITMENTS} SELECT user_id, count(*) AS n_overdue , min(target) AS oldest, min(commitment_id) AS first_id FROM com WHERE overdue GROUP BY user_id")
-def overdue_digest(spark: SparkSession, d: str) -> DataFrame:
-    c = commitments(spark, d).filter("overdue")
-    return c.groupBy("user_id").agg(F.count("*").alias("n_overdue"), F.min("target").alias("oldest"), F.min("commitment_id").alias("first_id"))
-
-
-@query("q_person_filter", """WITH p AS (SELECT call_id, lower(trim(u.s.spk_name)) AS person, split_part(lower(trim(u.s.spk_name)), ' ', 1) AS given FROM calls, unnest(speakers) AS u(s)),
-  t AS (SELECT turn_row_id, p.person, CASE WHEN contains(lower(text), p.person) THEN 1 WHEN contains(lower(text), p.given) THEN 3 END AS tier FROM turns JOIN p ON p.call_id = turns.call_id)
-  SELECT turn_row_id, person, tier FROM t WHERE tier IS NOT NULL""")
+@query("q_person_filter", f"""WITH p AS (SELECT DISTINCT call_id, lower(trim(u.s.spk_name)) AS person FROM calls, unnest(speakers) AS u(s) WHERE trim(coalesce(u.s.spk_name, '')) <> ''),
+  t AS (SELECT turn_row_id, call_id, person, CASE WHEN {_says_sql('person')} THEN 1 WHEN contains(person, ' ') AND {_says_sql("split_part(person, ' ', 1)")} THEN CASE WHEN {_says_sql("string_split(person, ' ')[-1]")} THEN 2 ELSE 3 END END AS tier FROM (SELECT turn_row_id, t.call_id, person, lower(text) AS low FROM turns t JOIN p ON p.call_id = t.call_id))
+  SELECT turn_row_id, call_id, person, tier FROM (SELECT *, min(tier) OVER (PARTITION BY call_id, person) AS best FROM t WHERE tier IS NOT NULL) WHERE tier = best""")
 def person_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of a call that mention one of its participants, as whole words: by the whole name (tier 1), by given name and surname apart (2), by the given name (3; every line
-    is of a transcript). Of each person only the lines of the best tier are kept. A name of one word has tier 1 only. The SQL, kept as it was, states two tiers without
-    word boundaries and keeps both."""
-    p = table(spark, d, "calls").select("call_id", F.explode("speakers").alias("s")).select("call_id", F.lower(F.trim("s.spk_name")).alias("person")).filter("person <> ''")
-    words = F.split("person", r"\s+")
-    p = p.withColumns({"given": words[0], "surname": F.element_at(words, -1), "parts": F.size(words)})
-    t = table(spark, d, "turns").join(p, "call_id").withColumn("low", F.lower("text"))
-    # The plain search first: it spares most lines the pattern.
-    says = lambda c: F.contains("low", F.col(c)) & F.regexp_like("low", F.concat(F.lit(r"(?U)\b\Q"), c, F.lit(r"\E\b")))
-    tier = F.when(says("person"), 1).when((F.col("parts") > 1) & says("given"), F.when(says("surname"), 2).otherwise(3))
-    t = cut_lineage(t.select("turn_row_id", "person", tier.alias("tier")).filter("tier IS NOT NULL"))
-    return t.join(t.groupBy("person").agg(F.min("tier").alias("tier")), ["person", "tier"]).select("turn_row_id", "person", "tier")
-
-
-@query("q_fetch_parents", "SELECT c.comment_row_id, min(t.ticket_row_id) AS ticket_row_id, count(DISTINCT t.ticket_row_id) AS deliveries FROM ticket_comments c JOIN tickets t ON t.ticket_id = c.ticket_id GROUP BY c.comment_row_id")
-def fetch_parents(spark: SparkSession, d: str) -> DataFrame:
-    """Each child with its parent; the parents are reduced to one row per id before the join, so a hot parent isn't multiplied."""
-    parents = table(spark, d, "tickets").groupBy("ticket_id").agg(F.min("ticket_row_id").alias("ticket_row_id"), F.count_distinct("ticket_row_id").alias("deliveries"))
-    return table(spark, d, "ticket_comments").join(parents, "ticket_id").select("comment_row_id", "ticket_row_id", "deliveries")
+    """Lines of a call that mention one of its participants, of each participant of a call only those of the best tier (``person_tiers``)."""
+    p = table(spark, d, "calls").select(F.col("call_id").alias("tenant"), F.explode("speakers").alias("s")).select("tenant", F.col("s.spk_name").alias("person"))
+    lines = table(spark, d, "turns").select(F.col("call_id").alias("tenant"), F.col("turn_row_id").alias("chunk_id"), F.lit("transcript").alias("kind"), "text")
+    return person_tiers(lines, p, []).select(F.col("chunk_id").alias("turn_row_id"), F.col("tenant").alias("call_id"), "person", "tier")
+
+
+@query("q_fetch_parents", """WITH c AS (SELECT customer_slug AS user_id, comment_row_id, 'p_' || ticket_id || '_0' AS parent_chunk_id FROM ticket_comments), p AS (SELECT customer_slug AS user_id, 'p_' || ticket_id || '_0' AS parent_chunk_id, min(ticket_row_id) AS ticket_row_id FROM tickets WHERE description IS NOT NULL GROUP BY ALL)
+  SELECT p.user_id, p.parent_chunk_id, p.ticket_row_id, min(c.comment_row_id) AS first_child, count(*) AS n_children FROM c JOIN p ON p.user_id = c.user_id AND p.parent_chunk_id = c.parent_chunk_id GROUP BY ALL""")
+def q_fetch_parents(spark: SparkSession, d: str) -> DataFrame:
+    """The parents (tickets) of retrieved children (comments), each once, within one tenant."""
+    pid = F.concat(F.lit("p_"), "ticket_id", F.lit("_0")).alias("parent_chunk_id")
+    children = table(spark, d, "ticket_comments").select(F.col("customer_slug").alias("user_id"), pid, F.col("comment_row_id").alias("child"))
+    parents = table(spark, d, "tickets").filter("description IS NOT NULL").groupBy(F.col("customer_slug").alias("user_id"), pid).agg(F.min("ticket_row_id").alias("ticket_row_id"))
+    return fetch_parents(children, parents, "child")
+
+
+def fetch_parents(children: DataFrame, parents: DataFrame, child: str) -> DataFrame:
+    """``parents`` (user_id, parent_chunk_id and others) that ``children`` name, with first_child and n_children. Children are combined by parent before the join, so a hot parent meets one row."""
+    named = children.filter("nullif(parent_chunk_id, '') IS NOT NULL").groupBy("user_id", "parent_chunk_id").agg(F.min(child).alias("first_child"), F.count("*").alias("n_children"))
+    return parents.join(named, ["user_id", "parent_chunk_id"])

@@ -100,7 +100,7 @@ def log_tail(logs: DataFrame, tenant: str, level: str | None = None, limit: int
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text: one row per file (transcripts, pages, notes)."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def html_parts(pages: DataFrame, key: str, html: str) -> DataFrame:
