@@ -30,3 +30,45 @@ def test_no_names(spark):
     assert link_names(spark.createDataFrame([], "grp string, name string")).count() == 0
     assert parsed(None)[0] == parsed("..")[0] == "none"
     assert parsed("x" * 10_000)[0] == "part"
+
+
+def test_nicknames_that_are_also_short_team_words(spark):
+    classes = [["Bill Smith", "William Smith", "Smith, William", "Smith, Bill"], ["Kim Site", "Site, Kim"], ["Billing Operations", "Bill. Ops", "billing-operations", "Biling Operations"]]
+    rows = [("acme", n) for c in classes for n in c]
+    got = {}
+    for r in link_names(spark.createDataFrame(rows, "grp string, name string")).collect():
+        got.setdefault(r.class_id, set()).add(r.name)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes))
+
+
+def test_no_link_is_lost_to_a_frequent_neighbour(spark):
+    rows = [("acme", "Marten, Dax"), ("acme", "Marsen, Dax")]
+    pair = lambda extra: len({r.class_id for r in link_names(spark.createDataFrame(rows + extra, "grp string, name string")).filter("name LIKE 'Mar_en,%'").collect()})
+    assert pair([]) == 1
+    assert pair([("acme", "Mareno, Dax")] * 5) == 1
+
+
+def test_recall_on_generated_slips(spark):
+    import random
+
+    rng = random.Random(11)
+    given, surname = ["Anselm", "Isolde", "Kenji", "Theodore", "Magdalena", "Ruben", "Odette", "Cyprian"], ["Drenland", "Fitchtead", "Quarholm", "Ostfeld", "Varberg", "Pellhaven", "Brinmark", "Yargrove"]
+    rows, want = [], set()
+    for g in given:
+        for s in surname:
+            name = f"{g} {s}"
+            rows += [("acme", name)] * 3
+            for _ in range(2):
+                i = rng.randrange(1, len(name) - 1)
+                slip = rng.choice([name[:i] + name[i + 1 :], name[:i] + name[i] + name[i:], name[:i] + "x" + name[i + 1 :], name[:i] + name[i + 1] + name[i] + name[i + 2 :]])
+                if " " not in name[i : i + 2] and slip != name and " " not in (slip[0], slip[-1]) and len(slip.split()) == 2:
+                    rows.append(("acme", slip))
+                    want.add((name, slip))
+    of = {r.name: r.class_id for r in link_names(spark.createDataFrame(rows, "grp string, name string")).collect()}
+    assert sum(of[a] == of[b] for a, b in want) >= 0.95 * len(want)
+    assert len(set(of.values())) >= len(given) * len(surname) * 0.95
+
+
+def test_initials_follow_a_profile_that_is_merged_itself(spark):
+    rows = [("acme", n) for n in ("Ilse Carry", "Ilse Carry", "Ilse Carrby", "Ilse  Carrby", "I. Carrby", "I Carrby", "Ilse C.")]
+    assert len({r.class_id for r in link_names(spark.createDataFrame(rows, "grp string, name string")).collect()}) == 1
