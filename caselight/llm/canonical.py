@@ -7,9 +7,11 @@ candidates are scored by weighted cosine, and the best is accepted above a thres
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from caselight.operators.ranking import top_per_group
+from caselight.session import cut_lineage
+
 UNMATCHED = "UNMATCHED"
 
 #: Least cosine of the best form, and least distance to the best form of another entry.
@@ -58,51 +60,68 @@ def grams(s: Column) -> Column:
     return F.when(F.length(s) > 0, F.array_distinct(F.concat(near, apart))).otherwise(F.array().cast("array<string>"))
 
 
-def surface_forms(spark: SparkSession, entries: DataFrame) -> DataFrame:
-    """group, canonical, form: the forms of every entry in ``entries`` (field_group, canonical), each entry being a form of itself."""
+def listed_aliases(spark: SparkSession) -> DataFrame:
+    """FORMS as a table: grp, canonical, form."""
     rows = [(g, c, f.strip()) for g, by in FORMS.items() for c, forms in by.items() for f in forms.split(",")]
-    listed = spark.createDataFrame(rows, "grp string, canonical string, form string")
-    kept = entries.select(F.col("field_group").alias("grp"), "canonical").filter("grp IS NOT NULL AND canonical IS NOT NULL").distinct()
-    own = kept.select("grp", "canonical", F.col("canonical").alias("form"))
-    return listed.join(kept, ["grp", "canonical"]).unionByName(own).select("grp", "canonical", normalised(F.col("form")).alias("form")).distinct()
+    return spark.createDataFrame(rows, "grp string, canonical string, form string")
 
 
-def map_values(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """The canonical entry of each distinct (grp, value) of ``values``: grp, value, canonical, score; ``UNMATCHED`` if it names none.
+def surface_forms(entries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """group, canonical, form: the forms of every entry in ``entries`` (field_group, canonical, and gloss if there is one): the entry itself, the pieces of its gloss between commas and "or", and those of ``aliases`` (grp, canonical, form)."""
+    kept = entries.select(F.col("field_group").alias("grp"), "canonical", (F.col("gloss") if "gloss" in entries.columns else F.lit(None)).cast("string").alias("gloss")).filter("grp IS NOT NULL AND canonical IS NOT NULL")
+    own = kept.select("grp", "canonical", F.explode(F.concat(F.array("canonical"), F.split(F.coalesce("gloss", F.lit("")), r"\s*[,;]\s*|\s+or\s+"))).alias("form"))
+    if aliases is not None:
+        own = own.unionByName(aliases.join(kept.select("grp", "canonical").distinct(), ["grp", "canonical"]).select("grp", "canonical", "form"))
+    return own.select("grp", "canonical", normalised(F.col("form")).alias("form")).filter("form <> ''").distinct()
 
-    Null and blank values give no row; a value without letters or digits is unmatched. A tie between two entries is unmatched (no margin). The index
-    is as small as the canonical list with its forms; values are scored in parallel, gram by gram, without comparing values with each other.
-    """
-    forms = surface_forms(values.sparkSession, entries)
+
+def _weighted(forms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The inverted index of ``forms``: weights (grp, gram, weight), unseen (grp, unseen) and profiles (grp, canonical, form, terms by falling weight, norm2)."""
     form_grams = forms.select("grp", "canonical", "form", F.explode(grams(F.col("form"))).alias("gram"))
-    df = form_grams.groupBy("grp", "gram").agg(F.count("*").alias("df"))
     sizes = forms.groupBy("grp").agg(F.count("*").alias("n_forms"))
-    weights = df.join(sizes, "grp").select("grp", "gram", F.log(1 + F.col("n_forms") / F.col("df")).alias("weight"))
-    unseen = sizes.select("grp", F.log(1 + F.col("n_forms")).alias("unseen"))
-    weighted = form_grams.join(weights, ["grp", "gram"])
-    index = weighted.withColumn("form_norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("grp", "canonical", "form"))))
-
-    distinct = values.select("grp", "value").filter(F.col("value").rlike(r"[^\s ]")).distinct().withColumn("plain", normalised(F.col("value")))
-    plain = distinct.select("grp", "plain").distinct()
-    terms = plain.select("grp", "plain", F.explode(grams(F.col("plain"))).alias("gram")).join(F.broadcast(weights), ["grp", "gram"], "left").join(F.broadcast(unseen), "grp")
-    norms = terms.groupBy("grp", "plain").agg(F.sqrt(F.sum(F.pow(F.coalesce("weight", "unseen"), F.lit(2)))).alias("norm"))
-    hits = terms.filter("weight IS NOT NULL").select("grp", "plain", "gram").join(F.broadcast(index), ["grp", "gram"])
-    by_form = hits.groupBy("grp", "plain", "canonical", "form").agg((F.sum(F.col("weight") * F.col("weight")) / F.first("form_norm")).alias("part"))
+    weights = form_grams.groupBy("grp", "gram").agg(F.count("*").alias("df")).join(sizes, "grp").select("grp", "gram", F.log(1 + F.col("n_forms") / F.col("df")).alias("weight"))
+    weights = cut_lineage(weights)
+    profiles = form_grams.join(weights, ["grp", "gram"]).groupBy("grp", "canonical", "form").agg(F.sort_array(F.collect_list(F.struct("weight", "gram")), asc=False).alias("terms"), F.sum(F.col("weight") * F.col("weight")).alias("norm2"))
+    return weights, sizes.select("grp", F.log(1 + F.col("n_forms")).alias("unseen")), profiles
+
+
+def map_values(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, aliases: DataFrame | None = None) -> DataFrame:
+    """The canonical entry of each distinct (grp, value) of ``values``: grp, value, canonical, score; ``UNMATCHED`` if it names none.
+
+    Null and blank values give no row; a value without letters or digits is unmatched. A tie between two entries is unmatched (no margin). ``aliases`` (grp, canonical, form) are other words for entries,
+    which no spelling shows; ``listed_aliases`` has some.
+
+    Values are deduplicated and looked up gram by gram, never compared with each other. Of a form only its rarest grams are looked up, as many as any value needs to share for a score
+    that could matter (``threshold - margin``), so the grams that half of a long list has are never met; candidates are then scored by all grams. Nothing is broadcast by force.
+    """
+    weights, unseen, profiles = _weighted(surface_forms(entries, aliases))
+    profiles = cut_lineage(profiles)
+    least = max(threshold - margin, 1e-3) ** 2
+    squared = lambda terms: F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t["weight"] * t["weight"])
+    rare = F.filter("terms", lambda t, i: squared(F.slice("terms", i + 1, F.size("terms"))) >= F.lit(least) * F.col("norm2") - F.lit(1e-9))
+    index = profiles.select("grp", "canonical", "form", F.explode(F.transform(rare, lambda t: t["gram"])).alias("gram"))
+
+    distinct = cut_lineage(values.select("grp", "value").filter(F.col("value").rlike(r"[^\s ]")).distinct().withColumn("plain", normalised(F.col("value"))))
+    # The grams are made once per plain value and kept, not made anew for every form they are held against.
+    plain = cut_lineage(distinct.select("grp", "plain").distinct().withColumn("own", grams(F.col("plain"))))
+    terms = plain.select("grp", "plain", F.explode("own").alias("gram"))
+    norms = terms.join(weights, ["grp", "gram"], "left").join(unseen, "grp").groupBy("grp", "plain").agg(F.sqrt(F.sum(F.pow(F.coalesce("weight", "unseen"), F.lit(2)))).alias("norm"))
+    candidates = terms.join(index, ["grp", "gram"]).select("grp", "plain", "canonical", "form").distinct().join(profiles, ["grp", "canonical", "form"]).join(plain, ["grp", "plain"])
+    by_form = candidates.select("grp", "plain", "canonical", (squared(F.filter("terms", lambda t: F.array_contains("own", t["gram"]))) / F.sqrt("norm2")).alias("part"))
     by_entry = by_form.groupBy("grp", "plain", "canonical").agg(F.max("part").alias("part"))
-    best = by_entry.groupBy("grp", "plain").agg(F.max(F.struct("part", "canonical")).alias("top"), F.sort_array(F.collect_list("part"), asc=False).alias("parts"))
-    scored = best.join(norms, ["grp", "plain"]).select(
-        "grp", "plain", F.col("top.canonical").alias("entry"), (F.col("top.part") / F.col("norm")).alias("score"), (F.coalesce(F.get("parts", F.lit(1)), F.lit(0.0)) / F.col("norm")).alias("second")
-    )
+    two = top_per_group(by_entry, ["grp", "plain"], [F.desc("part"), F.desc("canonical")], 2)
+    best = two.groupBy("grp", "plain").agg(F.max(F.when(F.col("rank") == 1, F.struct("part", "canonical"))).alias("top"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("part"))), F.lit(0.0)).alias("second"))
+    scored = best.join(norms, ["grp", "plain"]).select("grp", "plain", F.col("top.canonical").alias("entry"), (F.col("top.part") / F.col("norm")).alias("score"), (F.col("second") / F.col("norm")).alias("second"))
     accepted = (F.col("score") >= threshold) & (F.col("score") - F.col("second") >= margin)
     return distinct.join(scored, ["grp", "plain"], "left").select("grp", "value", F.when(accepted, F.col("entry")).otherwise(UNMATCHED).alias("canonical"), F.round("score", 6).alias("score"))
 
 
-def mapped_rows(rows: DataFrame, entries: DataFrame) -> DataFrame:
+def mapped_rows(rows: DataFrame, entries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """``rows`` (grp, value and any keys) that are neither null nor blank nor literally an entry of their group, with ``canonical``.
 
     The typed value decides, so equal values map alike wherever they stand. A value that holds a third of all rows is mapped once; joining it back is
     left to the adaptive planner, which broadcasts the distinct values where they are few and splits a hot value otherwise.
     """
     literal = entries.select(F.col("field_group").alias("grp"), F.col("canonical").alias("value")).filter("grp IS NOT NULL AND value IS NOT NULL").distinct()
-    cases = rows.filter(F.col("value").rlike(r"[^\s ]")).join(F.broadcast(literal), ["grp", "value"], "left_anti")
-    return cases.join(map_values(cases, entries).select("grp", "value", "canonical"), ["grp", "value"])
+    cases = rows.filter(F.col("value").rlike(r"[^\s ]")).join(literal, ["grp", "value"], "left_anti")
+    return cases.join(map_values(cases, entries, aliases=aliases).select("grp", "value", "canonical"), ["grp", "value"])
