@@ -1,8 +1,10 @@
 """Personal information in free text: found, and replaced by typed placeholders.
 
-E-mail addresses, phone numbers, identity numbers and street addresses have shapes of their own. Names have none that tells them from products or
-places, so they are sanitised by what the corpus knows: how strongly a term reveals a protected person is estimated, in bits, from how often it occurs in
-the columns that name people against how often it occurs in the texts. Name-shaped pairs whose terms exceed the disclosure threshold are removed.
+Shapes and name-like pairs only propose spans. Whether a span is removed is decided by how strongly it discloses a protected entity, estimated in bits from the corpus:
+
+* an e-mail address, number or street address by the entities (accounts) whose texts it co-occurs with: the divergence of their distribution given the term from their distribution over all texts. A
+  hotline that stands in everybody's texts tells nothing about anybody and stays; a number met with one or few discloses them.
+* a name by its given name: how much likelier the term is among the people that the columns name than among the name-like pairs of the texts.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 from caselight.llm.names import folded
 from caselight.session import cut_lineage
 
-#: Bits by which a term must be likelier among people than in the texts to disclose a person, and least count there.
-DISCLOSURE_BITS, LEAST_COUNT = 1.0, 2
+#: Bits of divergence from which a span discloses an entity (a term met once does unless its entity holds seven tenths of all texts); bits from which a given name discloses a person: up to four times rarer
+#: among people than among the pairs of the texts, for there it also stands for the many people no column names; and its least count in the columns.
+SPAN_BITS, NAME_BITS, LEAST_COUNT = 0.5, -2.0, 2
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -60,6 +63,7 @@ _ADDRESS = re.compile(
     r")",
     re.IGNORECASE,
 )
+_SPACES = re.compile(r"\s+")
 _ADDRESS_HINT = re.compile(r"\d[\d ,]*[^\d]*(?:" + _STREET + r"|\d{5})", re.IGNORECASE)
 
 _WORD = r"[^\W\d_a-zß-öø-ÿ][\w'’-]*[^\W_]"
@@ -77,7 +81,7 @@ def shaped(text: str, labelled: bool) -> list[tuple[str, int, int, str, str]]:
     def take(kind: str, start: int, end: int) -> None:
         if all(end <= a or b <= start for a, b in taken):
             taken.append((start, end))
-            found.append((kind, start, end, "", ""))
+            found.append((kind, start, end, _SPACES.sub("", text[start:end]).lower(), ""))
 
     if _EMAIL_HINT.search(text):
         for m in _EMAIL.finditer(text):
@@ -103,18 +107,33 @@ def shaped(text: str, labelled: bool) -> list[tuple[str, int, int, str, str]]:
     return found
 
 
-_ITEM_SCHEMA = "src_table string, row_id long, kind string, start_char long, end_char long, given string, rest string"
+_ITEM_SCHEMA = "src_table string, row_id long, entity string, text_hash long, kind string, start_char long, end_char long, given string, rest string"
 
 
 def shaped_items(texts: DataFrame) -> DataFrame:
-    """The items and name candidates of ``texts`` (src_table, row_id, text, labelled); one pass without a shuffle over whole texts."""
+    """The items and name candidates of ``texts`` (src_table, row_id, entity, text, labelled); one pass without a shuffle over whole texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(s, r, *x) for s, r, t, lab in zip(b.src_table, b.row_id, b.text, b.labelled, strict=True) for x in shaped(t, lab)]
-            yield pd.DataFrame(rows, columns=["src_table", "row_id", "kind", "start_char", "end_char", "given", "rest"])
+            rows = [(s, r, e, h, *x) for s, r, e, h, t, lab in zip(b.src_table, b.row_id, b.entity, b.text_hash, b.text, b.labelled, strict=True) for x in shaped(t, lab)]
+            yield pd.DataFrame(rows, columns=["src_table", "row_id", "entity", "text_hash", "kind", "start_char", "end_char", "given", "rest"])
+
+    return texts.filter(F.col("text").rlike(r"\S")).select("src_table", "row_id", "entity", F.xxhash64("text").alias("text_hash"), "text", "labelled").mapInPandas(run, _ITEM_SCHEMA)
+
+
+def divergence(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """term, bits: how far the entities that a term's texts belong to differ from those of all texts (relative entropy).
 
-    return texts.filter(F.col("text").rlike(r"\S")).select("src_table", "row_id", "text", "labelled").mapInPandas(run, _ITEM_SCHEMA)
+    ``spans``: term, entity, text_hash, a row per occurrence; ``texts``: entity. Copies of a text of one entity count once. With a single entity nothing can diverge, and the term's
+    own information, by the share of texts it stands in, takes the place. Counts are combined before each shuffle; a term has a row per entity it meets."""
+    by_entity = texts.groupBy(F.coalesce("entity", F.lit("")).alias("entity")).agg(F.count("*").alias("n_texts"))
+    by_entity = cut_lineage(by_entity)
+    n, entities = by_entity.agg(F.sum("n_texts"), F.count("*")).first()  # two numbers
+    met = spans.select("term", F.coalesce("entity", F.lit("")).alias("entity"), "text_hash").distinct().groupBy("term", "entity").agg(F.count("*").alias("c"))
+    if entities < 2:
+        return met.groupBy("term").agg(F.log2(F.lit(float(n or 1)) / F.sum("c")).alias("bits"))
+    part = F.col("c") * F.log2(F.col("c") * F.lit(float(n)) / F.col("n_texts"))
+    return met.join(by_entity, "entity").groupBy("term").agg((F.sum(part) / F.sum("c") - F.log2(F.sum("c"))).alias("bits"))
 
 
 def disclosure(people: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -135,7 +154,7 @@ def disclosure(people: DataFrame, candidates: DataFrame) -> DataFrame:
     all_given, all_texts = (float(x.first()[0] or 0) for x in (named.agg(F.sum("as_given")), seen.agg(F.sum("in_texts"))))  # two numbers
     scored = seen.join(named, "term")
     share = F.col("as_given") / F.col("in_names")
-    bits = F.log2((F.col("as_given") + 0.5) / (all_given + 1)) - F.log2((F.col("in_texts") + 0.5) / (all_texts + 1)) + F.log2(share * F.lit(16.0))
+    bits = F.log2((F.col("as_given") + 0.5) / (all_given + 1)) - F.log2((F.col("in_texts") + 0.5) / (all_texts + 1)) + F.log2(share)
     return scored.filter(F.col("as_given") >= LEAST_COUNT).filter(share >= 0.5).select("term", bits.alias("bits"))
 
 
@@ -155,27 +174,30 @@ def ordered_parts(name: str | None) -> tuple[str | None, str | None]:
     return None, None
 
 
-def find_pii(texts: DataFrame, people: DataFrame, bits: float = DISCLOSURE_BITS) -> DataFrame:
-    """src_table, row_id, pii_type, start_char, end_char (zero-based, end exclusive) of every item in ``texts``.
+def find_pii(texts: DataFrame, people: DataFrame, span_bits: float = SPAN_BITS, name_bits: float = NAME_BITS) -> DataFrame:
+    """src_table, row_id, pii_type, start_char, end_char (zero-based, end exclusive) of every item in ``texts`` whose disclosure reaches the threshold of its kind.
 
-    ``texts``: src_table, row_id, text, labelled; null and blank texts hold nothing. ``people``: name, a row per mention in a column that names
-    people. Repeated rows count by their own id. The statistics cover all rows. Terms are joined to candidates by value; AQE splits a hot term.
+    ``texts``: src_table, row_id, entity (whom a text is about, such as its account), text, labelled; null and blank texts hold nothing, a null entity is one of its own. ``people``: name, a row per mention
+    in a column that names people. Repeated rows count by their own id. The statistics cover all rows. Terms are joined by value; AQE splits a hot term.
     """
-    items = cut_lineage(shaped_items(texts))  # read three times below; the texts are scanned once
+    items = cut_lineage(shaped_items(texts))  # read several times below; the texts are scanned once
+    spans = items.filter(F.col("kind").isin(*KINDS[:4])).withColumnRenamed("given", "term")
+    # Those that disclose nobody are few, so they are what is joined.
+    harmless = divergence(spans.select("term", "entity", "text_hash"), texts.filter(F.col("text").rlike(r"\S")).select("entity")).filter(F.col("bits") < span_bits).select("term")
+    plain = spans.join(harmless, "term", "left_anti").select("src_table", "row_id", "start_char", "end_char", "kind")
     candidates = items.filter(F.col("kind").isin("given_first", "surname_first"))
-    scores = disclosure(people, candidates).filter(F.col("bits") >= bits)
+    scores = disclosure(people, candidates).filter(F.col("bits") >= name_bits)
     named = candidates.join(scores.select(F.col("term").alias("given")), "given")
     # A surname-first pair whose first word is itself a given name is a list of two people.
     listed = scores.select(F.col("term").alias("rest"))
     first = named.filter("kind = 'given_first'")
     last = named.filter("kind = 'surname_first'").join(listed, "rest", "left_anti")
     names = first.unionByName(last.select(first.columns)).groupBy("src_table", "row_id", "start_char").agg(F.max("end_char").alias("end_char")).withColumn("kind", F.lit("NAME"))
-    plain = items.filter(F.col("kind").isin(*KINDS[:4])).select("src_table", "row_id", "start_char", "end_char", "kind")
     return plain.unionByName(names).select("src_table", "row_id", F.col("kind").alias("pii_type"), "start_char", "end_char")
 
 
 def sanitised(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """``texts`` with every item replaced by ``[TYPE]``, the rest unchanged: src_table, row_id, clean_text. Texts without items come out as they are, null stays null."""
+    """``texts`` with every item replaced by ``[TYPE]``, the rest unchanged: src_table, row_id, clean_text. Items that overlap are replaced together, under the type of the first. Texts without items come out as they are, null stays null."""
 
     @F.pandas_udf("string")
     def replace(text: pd.Series, items: pd.Series) -> pd.Series:
@@ -192,7 +214,8 @@ def _replaced(text: str | None, items) -> str | None:  # noqa: ANN001
     out, at = [], 0
     for x in items:
         start, end, kind = (x["start_char"], x["end_char"], x["pii_type"])
-        if start < at:
+        if start < at:  # it overlaps the one before: both are one span
+            at = max(at, end)
             continue
         out += [text[at:start], f"[{kind}]"]
         at = end

@@ -11,7 +11,7 @@ _PEOPLE = (("tickets", "reporter"), ("tickets", "assignee"), ("ticket_comments",
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    parts = [table(spark, d, t).select(F.lit(t).alias("src_table"), F.col(i).alias("row_id"), F.col(c).alias("text"), F.lit(t == "turns").alias("labelled")) for t, i, c in _TEXTS]
+    parts = [table(spark, d, t).select(F.lit(t).alias("src_table"), F.col(i).alias("row_id"), F.col("customer_slug").alias("entity"), F.col(c).alias("text"), F.lit(t == "turns").alias("labelled")) for t, i, c in _TEXTS]
     return reduce(DataFrame.unionByName, parts)
 
 
