@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from caselight.catalog import query
 from caselight.operators import text as X
 from caselight.operators.ranking import diversity_cap, recency_boost, top_per_group
-from caselight.operators.retrieval import bm25, dense_topk, fusion_key, lexical_rerank, reciprocal_rank_fusion, with_unscored
+from caselight.operators.retrieval import bm25, dense_topk, fusion_key, lexical_rerank, reciprocal_rank_fusion
 from caselight.plans.questions import RECENT, RECENT_SQL
 from caselight.session import cut_lineage
 from caselight.tables import table
@@ -106,8 +106,7 @@ def q_bm25_tenant(spark: SparkSession, d: str) -> DataFrame:
     """Each ticket's subject asked of the documents of its account, with that account's statistics; lists are filled with unscored documents."""
     corpus = table(spark, d, "documents").filter("customer_slug IS NOT NULL").select("doc_id", F.col("customer_slug").alias("tenant"), "text")
     asks = table(spark, d, "tickets").select(F.col("ticket_row_id").alias("query_id"), F.col("customer_slug").alias("tenant"), F.col("subject").alias("text"))
-    ranked = cut_lineage(bm25(corpus, asks, tenant="tenant"))
-    return with_unscored(ranked, corpus, asks, "tenant").select("query_id", "doc_id", "score", "rank")
+    return bm25(corpus, asks, tenant="tenant", unscored=True).select("query_id", "doc_id", "score", "rank")
 
 
 @query("q_dense_topk", "WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.e, b.e), 6) AS score FROM q a, q b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 10")
